@@ -12,41 +12,43 @@ from pyspark.sql import functions as F
 from lendlens.functions.anchors import PeriodAnchors
 
 
-def safe_ratio(part: Column, whole: Column) -> Column:
-    return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
+def _ratio(part: str, whole: str) -> str:
+    return f"(cast({part} as double) / nullif(cast({whole} as double), 0D))"
 
 
-def pct_change(last: Column, current: Column) -> Column:
-    return F.round(safe_ratio(current - last, last) * 100, 2)
+def _change(last: str, current: str) -> Column:
+    change = f"({current} - {last})"
+    return F.expr(f"round({_ratio(change, last)} * 100, 2)")
 
 
-def _conversion(period: str) -> Column:
-    return safe_ratio(F.col(f"{period}_disbursed"), F.col(f"{period}_starts"))
+def _conversion(period: str) -> str:
+    return _ratio(f"{period}_disbursed", f"{period}_starts")
 
 
-def _ats(period: str) -> Column:
-    return safe_ratio(F.col(f"{period}_disbursed_amt"), F.col(f"{period}_disbursed"))
+def _ats(period: str) -> str:
+    return _ratio(f"{period}_disbursed_amt", f"{period}_disbursed")
 
 
 def change_in_starts_pct() -> Column:
-    return pct_change(F.col("last_starts"), F.col("current_starts"))
+    return _change("last_starts", "current_starts")
 
 
 def conversion(period: str) -> Column:
-    return F.round(_conversion(period), 4)
+    """Disbursals over starts of the same period; not a cohort's, so it may exceed one."""
+    return F.expr(f"round({_conversion(period)}, 4)")
 
 
 def change_in_conversion_pct() -> Column:
-    return pct_change(_conversion("last"), _conversion("current"))
+    return _change(_conversion("last"), _conversion("current"))
 
 
 def ats(period: str) -> Column:
     """Average ticket size."""
-    return F.round(_ats(period), 2)
+    return F.expr(f"round({_ats(period)}, 2)")
 
 
 def change_in_ats_pct() -> Column:
-    return pct_change(_ats("last"), _ats("current"))
+    return _change(_ats("last"), _ats("current"))
 
 
 def funnel_metrics() -> dict[str, Column]:

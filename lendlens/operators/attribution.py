@@ -121,7 +121,7 @@ def channel_measures(
     applied = apps.select(
         USER,
         tick_of("date_created").alias("tick"),
-        *(F.coalesce(term, F.lit(0)).alias(name) for name, term in terms.items()),
+        *(term.alias(name) for name, term in terms.items()),
         *(terms[name].isNull().cast("int").alias(flag) for name, flag in UNKNOWN.items()),
         F.lit(1).alias("joined_rows"),
     )
@@ -145,13 +145,11 @@ def channel_measures(
         sums_after(visited, installed, SOURCE, CARRIED, heavy)
         .filter("joined_rows > 0")
         .groupBy("campaign_type")
-        .agg(*(F.sum(name).cast(kind).alias(name) for name, kind in CARRIED.items()))
+        .agg(*(F.expr(f"cast(sum({n}) as {kind}) as {n}") for n, kind in CARRIED.items()))
     )
     # A sum of nothing but unknown amounts is unknown, not zero.
     known = {
-        name: F.when(F.col(flag) < F.col("joined_rows"), F.col(name))
+        name: f"case when {flag} < joined_rows then {name} end as {name}"
         for name, flag in UNKNOWN.items()
     }
-    return totals.select(
-        "campaign_type", *(known.get(name, F.col(name)).alias(name) for name in MEASURES)
-    )
+    return totals.selectExpr("campaign_type", *(known.get(name, name) for name in MEASURES))

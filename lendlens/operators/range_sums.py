@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS_PER_MINUTE = 60_000_000
@@ -74,98 +74,74 @@ def _sums(
 
     Probes without key or tick match nothing and are left out.
     """
-    matchable = F.col(key).isNotNull() & F.col("tick").isNotNull()
-    typed = events.filter(matchable).select(
-        key, "tick", *(F.col(name).cast(kind).alias(name) for name, kind in measures.items())
-    )
+    matchable = f"{key} is not null and tick is not null"
     plan = _spread if heavy else _per_key
-    return plan(typed, probes.filter(matchable), key, measures, later).select(
+    return plan(events.filter(matchable), probes.filter(matchable), key, measures, later).select(
         *probes.columns, *measures
     )
 
 
-def _in_order(column: str, later: bool) -> Column:
-    return F.desc_nulls_first(column) if later else F.asc_nulls_first(column)
+def _totals(measures: Mapping[str, str], over: str = "") -> list[Column]:
+    """The measures summed, over a window or as grouped aggregates; no rows sum to zero."""
+    return [
+        F.expr(f"cast(coalesce(sum({name}) {over}, 0) as {kind}) as {name}")
+        for name, kind in measures.items()
+    ]
 
 
-def _total_over(name: str, kind: str, window: WindowSpec) -> Column:
-    total = F.sum(name).over(window).cast(kind)
-    return F.coalesce(total, F.lit(0).cast(kind)).alias(name)
+def _passed(keys: str, column: str, later: bool, frame: str) -> str:
+    """The window of rows passed on the way to this one."""
+    order = f"{column} {'desc' if later else 'asc'} nulls first"
+    bounds = f"{frame} between unbounded preceding and 1 preceding"
+    return f"over (partition by {keys} order by {order} {bounds})"
 
 
 def _per_key(
     events: DataFrame, probes: DataFrame, key: str, measures: Mapping[str, str], later: bool
 ) -> DataFrame:
-    passed = (
-        Window.partitionBy(key)
-        .orderBy(_in_order("tick", later))
-        .rangeBetween(Window.unboundedPreceding, -1)
+    rows = probes.withColumn("probed", F.lit(1)).unionByName(
+        events.select(key, "tick", *measures), allowMissingColumns=True
     )
-    rows = probes.withColumn("probed", F.lit(1)).unionByName(events, allowMissingColumns=True)
-    sums = (_total_over(name, kind, passed) for name, kind in measures.items())
-    return rows.select("probed", *probes.columns, *sums).filter(F.col("probed") == 1)
+    passed = _passed(key, "tick", later, "range")
+    return rows.select("probed", *probes.columns, *_totals(measures, passed)).filter("probed = 1")
 
 
 def _spread(
     events: DataFrame, probes: DataFrame, key: str, measures: Mapping[str, str], later: bool
 ) -> DataFrame:
-    def total(name: str) -> Column:
-        return F.sum(name).cast(measures[name]).alias(name)
-
-    rows = events.select(key, "tick", F.lit(0).alias("probed"), *measures).unionByName(
-        probes.select(
+    rows = events.selectExpr(
+        key,
+        "tick",
+        "0 as probed",
+        *(f"cast({name} as {kind}) as {name}" for name, kind in measures.items()),
+    ).unionByName(
+        probes.selectExpr(
             key,
             "tick",
-            F.lit(1).alias("probed"),
-            *(F.lit(0).cast(kind).alias(name) for name, kind in measures.items()),
+            "1 as probed",
+            *(f"cast(0 as {kind}) as {name}" for name, kind in measures.items()),
         )
     )
     # Read twice below, in one column order so that its exchange is run once.
     points = (
         rows.withColumn("minute", F.floor(F.col("tick") / MICROS_PER_MINUTE))
         .groupBy(key, "minute", "tick")
-        .agg(F.max("probed").alias("probed"), *map(total, measures))
-    )
-
-    passed_minutes = (
-        Window.partitionBy(key)
-        .orderBy(_in_order("minute", later))
-        .rowsBetween(Window.unboundedPreceding, -1)
+        .agg(F.max("probed").alias("probed"), *_totals(measures))
     )
+    passed_minutes = _passed(key, "minute", later, "rows")
     carried = (
         points.groupBy(key, "minute")
-        .agg(F.max("probed").alias("probed"), *map(total, measures))
-        .select(
-            key,
-            "minute",
-            "probed",
-            *(_total_over(name, kind, passed_minutes) for name, kind in measures.items()),
-        )
-        .filter(F.col("probed") == 1)
-        .select(
-            key,
-            "minute",
-            F.lit(None).cast("long").alias("tick"),
-            F.lit(0).alias("probed"),
-            *measures,
-        )
+        .agg(F.max("probed").alias("probed"), *_totals(measures))
+        .select(key, "minute", "probed", *_totals(measures, passed_minutes))
+        .filter("probed = 1")
+        .selectExpr(key, "minute", "cast(null as bigint) as tick", "0 as probed", *measures)
     )
-
     # The carried total has no tick and comes first in its minute.
-    passed_ticks = (
-        Window.partitionBy(key, "minute")
-        .orderBy(_in_order("tick", later))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    passed_ticks = _passed(f"{key}, minute", "tick", later, "rows")
     answers = (
         carried.unionByName(points)
-        .select(
-            key,
-            "tick",
-            "probed",
-            *(_total_over(name, kind, passed_ticks) for name, kind in measures.items()),
-        )
-        .filter(F.col("probed") == 1)
+        .select(key, "tick", "probed", *_totals(measures, passed_ticks))
+        .filter("probed = 1")
         .drop("probed")
     )
     # One answer per key and tick; a hot side of probes is split by the skew join.

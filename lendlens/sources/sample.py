@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lendlens import constants as k
 from lendlens.sources.tables import Sources
@@ -42,67 +41,63 @@ CAMPAIGN_BY_SLOT = ["UAC", "Facebook", "affiliate", None, "REFERRAL"]
 UNATTRIBUTED_PRIORITY = "5-LOW"
 
 
-def _pick(labels: list[str | None], number: Column) -> Column:
-    choices = F.array(*map(F.lit, labels))
-    return F.get(choices, (number % len(labels)).cast("int"))
+def _pick(labels: list[str | None], number: str) -> str:
+    choices = ", ".join("null" if label is None else f"'{label}'" for label in labels)
+    return f"get(array({choices}), cast({number} % {len(labels)} as int))"
 
 
-def _at(hours: int, minutes: int = 0) -> Column:
+def _at(hours: int, minutes: int = 0) -> str:
     """The order date plus a key-dependent time of day."""
-    key = F.col("o_orderkey")
-    return F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(
-        hours=(key * hours % 24).cast("int"), mins=(key * minutes % 60).cast("int")
+    return (
+        "cast(o_orderdate as timestamp_ntz) + make_dt_interval("
+        f"0, cast(o_orderkey * {hours} % 24 as int), cast(o_orderkey * {minutes} % 60 as int))"
     )
 
 
+# Ten neighbouring customers share one attribution id.
+SHARED_ID = "concat('att-', o_custkey div 10)"
+
+
 def loan_application(orders: DataFrame) -> DataFrame:
-    key, created = F.col("o_orderkey"), _at(7, 37)
-    delay = F.make_dt_interval(days=F.when(key % 2 == 0, 9).otherwise(33))
-    amount = F.col("o_totalprice").cast("decimal(18,2)")
-    return orders.select(
-        key.alias("id"),
-        F.col("o_custkey").alias("user_id_ref"),
-        _pick(PRODUCT_BY_DIGIT, key).alias("loan_product_id"),
-        _pick(APP_BY_SLOT, F.floor(key / 10)).alias("app_name"),
-        created.alias("date_created"),
-        F.when(F.col("o_orderstatus") != "P", created + delay).alias("disbursal_date"),
-        F.when(key % 29 != 0, amount).alias("loan_amount"),
-        F.when(key % 23 != 0, (3 + key % 8).cast("int")).alias("loan_tenure"),
-        F.to_date("o_orderdate").alias("created_day"),
+    delay = "make_dt_interval(if(o_orderkey % 2 = 0, 9, 33))"
+    return orders.selectExpr(
+        "o_orderkey as id",
+        "o_custkey as user_id_ref",
+        f"{_pick(PRODUCT_BY_DIGIT, 'o_orderkey')} as loan_product_id",
+        f"{_pick(APP_BY_SLOT, '(o_orderkey div 10)')} as app_name",
+        f"{_at(7, 37)} as date_created",
+        f"case when o_orderstatus <> 'P' then {_at(7, 37)} + {delay} end as disbursal_date",
+        "case when o_orderkey % 29 <> 0 then cast(o_totalprice as decimal(18,2)) end"
+        " as loan_amount",
+        "case when o_orderkey % 23 <> 0 then cast(3 + o_orderkey % 8 as int) end as loan_tenure",
+        "cast(o_orderdate as date) as created_day",
     )
 
 
 def loan_application_metadata(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select(
-        F.col("l_orderkey").alias("loan_application_id_ref"),
-        _pick(TAG_BY_SLOT, F.col("l_partkey")).alias("tag_name"),
-        F.col("l_shipdate").cast("timestamp_ntz").alias("date_created"),
+    return lineitem.selectExpr(
+        "l_orderkey as loan_application_id_ref",
+        f"{_pick(TAG_BY_SLOT, 'l_partkey')} as tag_name",
+        "cast(l_shipdate as timestamp_ntz) as date_created",
     )
 
 
-def _attribution(orders_key: str) -> Column:
-    """Ten neighbouring customers share one attribution id."""
-    return F.concat(F.lit("att-"), F.floor(F.col(orders_key) / 10).cast("string"))
-
-
 def app_user_history(orders: DataFrame) -> DataFrame:
-    alone = F.concat(F.lit("own-"), F.col("o_orderkey").cast("string"))
-    return orders.select(
-        F.col("o_custkey").alias("user_id_ref"),
-        F.when(F.col("o_orderpriority") == UNATTRIBUTED_PRIORITY, alone)
-        .otherwise(_attribution("o_custkey"))
-        .alias("attribution_id"),
-        _at(5).alias("date_created"),
-        F.to_date("o_orderdate").alias("created_day"),
+    alone = f"o_orderpriority = '{UNATTRIBUTED_PRIORITY}'"
+    return orders.selectExpr(
+        "o_custkey as user_id_ref",
+        f"if({alone}, concat('own-', o_orderkey), {SHARED_ID}) as attribution_id",
+        f"{_at(5)} as date_created",
+        "cast(o_orderdate as date) as created_day",
     )
 
 
 def install_event(orders: DataFrame) -> DataFrame:
-    return orders.select(
-        _attribution("o_custkey").alias("attribution_id"),
-        _pick(CAMPAIGN_BY_SLOT, F.col("o_orderkey")).alias("campaign_type"),
-        _at(11).alias("date_created"),
-        F.to_date("o_orderdate").alias("created_day"),
+    return orders.selectExpr(
+        f"{SHARED_ID} as attribution_id",
+        f"{_pick(CAMPAIGN_BY_SLOT, 'o_orderkey')} as campaign_type",
+        f"{_at(11)} as date_created",
+        "cast(o_orderdate as date) as created_day",
     )
 
 
