@@ -14,8 +14,19 @@ SETTINGS = {
 }
 
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+TASKS_PER_CORE = 3
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings; sizes (shuffle partitions, memory) stay the cluster's."""
+    """Apply the settings; memory and file split sizes stay the cluster's.
+
+    On a cluster with more cores than shuffle partitions, shuffles start out with a few
+    partitions per core and are coalesced to the advisory size at run time.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    cores = spark.sparkContext.defaultParallelism
+    if cores > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(INITIAL_PARTITIONS, str(TASKS_PER_CORE * cores))
     return spark

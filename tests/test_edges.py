@@ -1,0 +1,259 @@
+"""Hand-made rows at the edges of periods, bounds and joins."""
+
+from decimal import Decimal
+
+import pytest
+
+from lendlens import constants as k
+from lendlens.functions.anchors import PeriodAnchors
+from lendlens.operators import aggregates, tags
+from lendlens.plans import families
+from lendlens.plans.reports import report
+from tests.conftest import AS_OF, by_key
+
+ANCHORS = PeriodAnchors
+
+
+def mom(made, as_of=AS_OF):
+    return by_key(report(made.sources(), "rpt_changes_mom", as_of), "programme")
+
+
+def test_last_period_ends_at_midnight(made):
+    for created in (
+        "2000-01-31 23:59:59.999999",
+        "2000-02-01 00:00:00",
+        "2000-02-14 23:59:59.999999",
+        "2000-02-15 00:00:00",
+        "2000-02-15 00:00:00.000001",
+        "2000-02-15 10:00:00",
+    ):
+        made.app(created, created)
+    row = mom(made)[k.MVL_NEW]
+    assert (row["last_starts"], row["last_disbursed"]) == (3, 3)
+    assert row["last_disbursed_amt"] == Decimal("300.00")
+
+
+def test_date_grain_includes_the_whole_day(made):
+    for created in ("2000-02-15 10:00:00", "2000-02-16 00:00:00", "2000-03-15 20:00:00"):
+        made.app(created)
+    df = made.sources().loan_application.selectExpr("*", "'all' as programme")
+    row = aggregates.period_pivot(df, ["programme"], ANCHORS.of(AS_OF), grain="date").first()
+    assert (row.last_starts, row.current_starts) == (1, 1)
+
+
+def test_current_period_runs_to_the_instant(made):
+    for created in (
+        "2000-02-29 23:59:59",
+        "2000-03-01 00:00:00",
+        "2000-03-15 13:30:00",
+        "2000-03-15 13:30:00.000001",
+        "2000-04-01 00:00:00",
+    ):
+        made.app(created)
+    assert mom(made)[k.MVL_NEW]["current_starts"] == 2
+
+
+def test_same_day_clamps_to_a_shorter_month(made):
+    made.app("2000-02-28 12:00:00").app("2000-02-29 00:00:00").app("2000-02-29 00:00:01")
+    for as_of in ("2000-03-29", "2000-03-30", "2000-03-31"):
+        assert mom(made, as_of)[k.MVL_NEW]["last_starts"] == 2
+
+
+def test_creation_bound_drops_late_disbursals(made):
+    made.app("1999-10-17 13:30:00", "2000-03-14 09:00:00", amount="10.00")
+    made.app("1999-10-17 13:29:59", "2000-03-14 09:00:00", amount="5.00")
+    assert mom(made)[k.MVL_NEW]["current_disbursed"] == 1
+    volume = report(made.sources(), "rpt_volume_projection", AS_OF).first()
+    assert volume.current_month_mtd == Decimal("15.00")
+
+
+def test_volume_leaves_out_the_running_day(made):
+    for disbursed in (
+        "2000-01-31 23:00:00",
+        "2000-02-01 00:00:00",
+        "2000-02-14 23:59:00",
+        "2000-02-15 00:00:00",
+        "2000-02-29 23:59:59",
+        "2000-03-01 00:00:00",
+        "2000-03-14 23:59:59",
+        "2000-03-15 00:00:00",
+    ):
+        made.app("2000-01-01", disbursed)
+    row = report(made.sources(), "rpt_volume_projection", AS_OF).first()
+    assert row.prev_month_mtd == Decimal("200.00")
+    assert row.current_month_mtd == Decimal("200.00")
+    assert row.current_month_total == round(200 * 31 / 14, 2)
+    assert row.last_month_total == Decimal("400.00")
+
+
+def test_volume_on_the_first_of_a_month(made):
+    made.app("2000-01-01", "2000-03-01 10:00:00")
+    row = report(made.sources(), "rpt_volume_projection", "2000-03-01").first()
+    assert (row.current_month_mtd, row.current_month_total) == (Decimal("0.00"), 0.0)
+
+
+def test_volume_ignores_unknown_products(made):
+    made.app("2000-03-02", "2000-03-03", product=None).app("2000-03-02", "2000-03-03", product="2")
+    assert report(made.sources(), "rpt_volume_projection", AS_OF).count() == 0
+
+
+def test_segment_outside_both_periods_is_a_row_of_zeros(made):
+    made.app("2000-01-10", "2000-01-20")
+    row = mom(made)[k.MVL_NEW]
+    assert [row[name] for name in aggregates.MEASURES] == [0] * 6
+    assert row["last_conversion"] is None and row["change_in_ats_pct"] is None
+
+
+def test_zero_denominators(made):
+    made.app("2000-03-02", "2000-03-03", amount="50.00")
+    row = mom(made)[k.MVL_NEW]
+    assert row["change_in_starts_pct"] is None
+    assert (row["current_conversion"], row["current_ats"]) == (1.0, 50.0)
+    assert row["change_in_conversion_pct"] is None and row["change_in_ats_pct"] is None
+
+
+def test_metric_values(made):
+    for _ in range(3):
+        made.app("2000-02-05", "2000-02-10", amount="100.00")
+    made.app("2000-02-05")
+    made.app("2000-03-05", "2000-03-10", amount="250.00").app("2000-03-05").app("2000-03-05")
+    row = mom(made)[k.MVL_NEW]
+    assert row["change_in_starts_pct"] == -25.0
+    assert (row["last_conversion"], row["current_conversion"]) == (0.75, 0.3333)
+    assert row["change_in_conversion_pct"] == -55.56
+    assert (row["last_ats"], row["current_ats"]) == (100.0, 250.0)
+    assert row["change_in_ats_pct"] == 150.0
+
+
+def test_amount_of_only_unknown_amounts_is_unknown(made):
+    made.app("2000-03-02", "2000-03-03", amount=None)
+    row = mom(made)[k.MVL_NEW]
+    assert row["current_disbursed"] == 1 and row["current_disbursed_amt"] is None
+
+
+def test_null_ticket_size_comes_first(made):
+    for tenure in (7, 5, None, 6):
+        made.app("2000-03-02", product="6", app=k.APP_TOPUP, tenure=tenure)
+    rows = report(made.sources(), "rpt_topup_starts", AS_OF).collect()
+    assert [row.ticket_size for row in rows] == [None, "Micro", "Mini", "Regular"]
+
+
+# Repeat customers.
+
+
+def test_tags_multiply_rows(made):
+    made.app("2000-03-02", "2000-03-05", product="6", amount="10.00")
+    made.tag(1, "low_and_grow", "LOW_AND_GROW_PC")
+    made.tag(1, "STARTER_REPEAT", "starter_repeat", "STARTER_RELAXED_BUREAU", "other")
+    made.tag(1, "LOW_AND_GROW", created="2000-01-14 23:59:59")
+    amount = report(made.sources(), "rpt_repeat_disb_amount", AS_OF).collect()
+    assert [(r.repeat_bucket, r.current_disbursed_amt) for r in amount] == [
+        ("LowNGrow", Decimal("60.00"))
+    ]
+    # Created and disbursed lately: both branches, per tag.
+    starts = report(made.sources(), "rpt_repeat_starts", AS_OF).collect()
+    assert [(r.repeat_bucket, r.current_starts) for r in starts] == [
+        ("LowNGrow", 4),
+        ("Starter", 6),
+    ]
+
+
+def test_tagged_topup(made):
+    made.app("2000-03-02", product="6", app=k.APP_TOPUP).tag(1, "LOW_AND_GROW")
+    assert report(made.sources(), "rpt_repeat_ats", AS_OF).count() == 0
+    starts = report(made.sources(), "rpt_repeat_starts", AS_OF).collect()
+    assert [(r.repeat_bucket, r.current_starts) for r in starts] == [("LowNGrow", 1)]
+
+
+@pytest.mark.parametrize(
+    "created, disbursed, branches",
+    [
+        ("2000-03-02", "2000-03-05", 2),
+        ("2000-03-02", None, 1),
+        ("1999-12-01", "2000-03-05", 1),
+        ("1999-12-01", "2000-01-14", None),
+        ("2000-01-15", None, 1),
+        ("2000-01-14 23:59:59", None, None),
+    ],
+)
+def test_branches(made, created, disbursed, branches):
+    apps = made.app(created, disbursed).sources().loan_application
+    row = tags.recent_branches(apps, ANCHORS.of(AS_OF)).first()
+    assert (row and row.branches) == branches
+
+
+@pytest.mark.parametrize("as_of, first", [("2000-08-31", "2000-07-01"), ("2001-01-31", "2000-12-01")])
+def test_sixty_days_miss_the_first_of_last_month(made, as_of, first):
+    made.app(first, product="6").app(first[:8] + "02", product="6")
+    starts = report(made.sources(), "rpt_repeat_starts", as_of).collect()
+    assert [(r.repeat_bucket, r.last_starts) for r in starts] == [("Regular", 1)]
+
+
+def test_both_programmes_give_a_row_per_bucket(made):
+    made.app("2000-03-02", product="6").app("2000-03-02", product="6", app="com.phonepe.app")
+    starts = report(made.sources(), "rpt_repeat_starts", AS_OF).collect()
+    assert [(r.repeat_bucket, r.current_starts) for r in starts] == [("Regular", 1)] * 2
+
+
+# Channels.
+
+
+def channels(made):
+    return by_key(report(made.sources(), "rpt_channel_starts", AS_OF), "campaign_type")
+
+
+@pytest.mark.parametrize("minutes, matches", [(59, 1), (60, 0), (61, 0)])
+def test_history_slack(made, minutes, matches):
+    made.app("2000-03-05 10:00:00")
+    made.visit(1, "a", f"2000-03-05 {10 + minutes // 60}:{minutes % 60:02}:00")
+    made.install("a", "UAC", "2000-03-01")
+    assert len(channels(made)) == matches
+
+
+@pytest.mark.parametrize("minutes, matches", [(59, 1), (60, 0), (61, 0)])
+def test_install_slack(made, minutes, matches):
+    made.app("2000-03-05 20:00:00").visit(1, "a", "2000-03-05 10:00:00")
+    made.install("a", "UAC", f"2000-03-05 {10 + minutes // 60}:{minutes % 60:02}:00")
+    assert len(channels(made)) == matches
+
+
+def test_unattributed_applications_are_dropped(made):
+    made.app("2000-03-05", user=1).app("2000-03-05", user=2).app("2000-03-05", user=3)
+    made.app("2000-03-05", user=None)
+    made.visit(2, "no install", "2000-03-01").visit(3, "a", "2000-03-01")
+    made.visit(None, "a", "2000-03-01").visit(1, None, "2000-03-01")
+    made.install("a", None, "2000-03-01").install(None, "UAC", "2000-03-01")
+    rows = channels(made)
+    assert {name: row["current_starts"] for name, row in rows.items()} == {"organic": 1}
+
+
+def test_every_pair_counts(made):
+    made.app("2000-03-05", "2000-03-06", amount="7.00").app("2000-03-05")
+    for day in ("01", "02", "03"):
+        made.visit(1, "a", f"2000-03-{day}")
+    made.install("a", "UAC", "2000-02-01").install("a", "uac", "2000-02-02")
+    made.install("a", "Referral", "2000-03-02")
+    rows = channels(made)
+    assert rows["uac"]["current_starts"] == 2 * 3 * 2
+    assert rows["uac"]["current_disbursed_amt"] == Decimal("42.00")
+    assert rows["referral"]["current_starts"] == 2 * 2
+    assert rows["referral"]["current_disbursed"] == 2
+
+
+def test_old_history_does_not_attribute(made):
+    made.app("2000-03-05").visit(1, "a", "1999-10-17 13:29:59").install("a", "UAC", "2000-01-01")
+    assert channels(made) == {}
+
+
+def test_channel_amount_of_only_unknown_amounts_is_unknown(made):
+    made.app("2000-03-05", "2000-03-06", amount=None).visit(1, "a", "2000-03-01")
+    made.install("a", "UAC", "2000-03-01")
+    row = channels(made)["uac"]
+    assert row["current_disbursed"] == 1 and row["current_disbursed_amt"] is None
+    assert row["last_disbursed_amt"] == 0
+
+
+def test_other_programmes_by_channel(made):
+    made.app("2000-03-05", product="6").visit(1, "a", "2000-03-01").install("a", "UAC", "2000-03-01")
+    df = families.channels(made.sources(), ANCHORS.of(AS_OF), k.MVL_REPEAT)
+    assert [(r.programme, r.current_starts) for r in df.collect()] == [(k.MVL_REPEAT, 1)]
