@@ -98,7 +98,8 @@ FLAGS = f"""CASE WHEN {UNTAGGED} = 'Others' THEN 'Others' WHEN lowngrow = 1 THEN
 
 
 def rounded(value: str, digits: int = 2) -> str:
-    return f"CAST(round(CAST({value} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+    """Half away from zero on the shortest decimal text of a double."""
+    return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,17)), {digits}) AS DOUBLE)"
 
 
 def ratio(part: str, whole: str) -> str:
