@@ -17,20 +17,27 @@ from lendlens.functions.anchors import PeriodAnchors
 from lendlens.operators import filters
 
 TAG_KEY = "loan_application_id_ref"
+SHARDS = 1024
 
 
 def tag_counts(tags: DataFrame, anchors: PeriodAnchors) -> DataFrame:
-    """Recent LowNGrow and Starter tags per application, from one scan."""
+    """Recent LowNGrow and Starter tags per application, from one scan.
+
+    A shard, itself a function of the key, is among the grouping keys. So the join has a
+    shuffle of its own over the (compact) counts, which the adaptive skew join needs to
+    split the rows of a hot application: it does not look through an aggregate.
+    """
     recent = filters.lookback_60d(tags, anchors)
     bucket = F.col("tag_bucket")
     return (
         recent.select(TAG_KEY, classify.tag_bucket().alias("tag_bucket"))
         .filter(bucket.isNotNull() & F.col(TAG_KEY).isNotNull())
-        .groupBy(TAG_KEY)
+        .groupBy(TAG_KEY, F.pmod(F.hash(TAG_KEY), F.lit(SHARDS)).alias("shard"))
         .agg(
             F.count_if(bucket == k.BUCKET_LOW_AND_GROW).alias("lowngrow_tags"),
             F.count_if(bucket == k.BUCKET_STARTER).alias("starter_tags"),
         )
+        .drop("shard")
     )
 
 

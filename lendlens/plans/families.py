@@ -2,58 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendlens import constants as k
 from lendlens.functions import classify, metrics
 from lendlens.functions.anchors import PeriodAnchors
 from lendlens.operators import attribution, filters, tags
-from lendlens.operators.aggregates import STARTS, period_pivot
+from lendlens.operators.aggregates import MEASURES, STARTS, period_pivot
 from lendlens.operators.projections import normalize_timestamps
 from lendlens.sources.tables import Sources
 
 
-def _funnel(sources: Sources, anchors: PeriodAnchors, keys: dict[str, Column]) -> DataFrame:
+LABELS = {
+    "single_app_programme": classify.programme_single_app,
+    "two_app_programme": classify.programme_two_app,
+    "partner_bucket": classify.partner_bucket,
+    "platform": classify.platform,
+    "ticket_size": classify.ticket_size,
+}
+
+
+def _pivot(sources: Sources, anchors: PeriodAnchors, labels: Iterable[str]) -> DataFrame:
+    """The six measures of the lookback by the given labels."""
     recent = filters.lookback_150d(sources.loan_application, anchors)
     labelled = normalize_timestamps(recent).select(
         "date_created",
         "disbursal_date",
         "loan_amount",
-        *(value.alias(name) for name, value in keys.items()),
+        *(LABELS[name]().alias(name) for name in labels),
     )
-    return metrics.add_funnel_metrics(period_pivot(labelled, list(keys), anchors))
+    return period_pivot(labelled, list(labels), anchors)
 
 
-def month_over_month(sources: Sources, anchors: PeriodAnchors) -> DataFrame:
-    return _funnel(sources, anchors, {"programme": classify.programme_single_app()})
+def funnel_cube(sources: Sources, anchors: PeriodAnchors) -> DataFrame:
+    """The measures by every label at once: a small table that any funnel rolls up."""
+    return _pivot(sources, anchors, LABELS)
 
 
-def partners(sources: Sources, anchors: PeriodAnchors) -> DataFrame:
-    return _funnel(
-        sources,
-        anchors,
-        {
-            "programme": classify.programme_two_app(),
-            "partner_bucket": classify.partner_bucket(),
-        },
-    )
+@dataclass(frozen=True)
+class Funnel:
+    """Measures and metrics by programme and, for most, a second label."""
 
+    programme: str
+    second: str | None = None
 
-def platforms(sources: Sources, anchors: PeriodAnchors) -> DataFrame:
-    return _funnel(
-        sources,
-        anchors,
-        {"programme": classify.programme_two_app(), "platform": classify.platform()},
-    )
+    @property
+    def labels(self) -> list[str]:
+        return [self.programme] if self.second is None else [self.programme, self.second]
 
+    def __call__(self, sources: Sources, anchors: PeriodAnchors) -> DataFrame:
+        return self._finished(_pivot(sources, anchors, self.labels))
 
-def ticket_sizes(sources: Sources, anchors: PeriodAnchors) -> DataFrame:
-    return _funnel(
-        sources,
-        anchors,
-        {"programme": classify.programme_two_app(), "ticket_size": classify.ticket_size()},
-    )
+    def rolled_up(self, cube: DataFrame) -> DataFrame:
+        sums = (F.expr(f"sum({name}) as {name}") for name in MEASURES)
+        return self._finished(cube.groupBy(*self.labels).agg(*sums))
+
+    def _finished(self, pivot: DataFrame) -> DataFrame:
+        named = pivot.withColumnRenamed(self.programme, "programme")
+        return metrics.add_funnel_metrics(named)
+
+
+month_over_month = Funnel("single_app_programme")
+partners = Funnel("two_app_programme", "partner_bucket")
+platforms = Funnel("two_app_programme", "platform")
+ticket_sizes = Funnel("two_app_programme", "ticket_size")
 
 
 def channels(sources: Sources, anchors: PeriodAnchors, programme: str = k.MVL_NEW) -> DataFrame:

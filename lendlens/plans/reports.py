@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -67,7 +69,7 @@ _PLATFORMS = Report(families.platforms, _programme_rows(k.MVL_NEW, "platform"))
 _CHANNELS = Report(families.channels, _programme_rows(k.MVL_NEW, "campaign_type"))
 _TICKETS = Report(families.ticket_sizes, _programme_rows(k.TOPUP, "ticket_size"))
 
-# The metrics of one group share one table; a report's reader picks its columns.
+# The reports of one group share one table; a reader picks the metric's columns.
 REPORTS: dict[str, Report] = {
     "rpt_changes_mom": Report(families.month_over_month, _all_but_others),
     "rpt_volume_projection": Report(families.volume_projection, _by_programme),
@@ -104,12 +106,35 @@ def report(sources: Sources, name: str, as_of: datetime | str | None = None) ->
     return chosen.finish(chosen.family(sources, PeriodAnchors.of(as_of)))
 
 
+@contextmanager
 def reports(
     sources: Sources, names: Iterable[str], as_of: datetime | str | None = None
-) -> dict[str, DataFrame]:
-    """Several reports; those with the same table share one DataFrame to persist."""
-    made: dict[Report, DataFrame] = {}
-    for name in names:
-        if REPORTS[name] not in made:
-            made[REPORTS[name]] = report(sources, name, as_of)
-    return {name: made[REPORTS[name]] for name in names}
+) -> Iterator[dict[str, DataFrame]]:
+    """Several reports that share their work while the context is open.
+
+    Funnel reports roll up one cube, so the applications are scanned once for them all;
+    a table that several reports need is computed once. Both are small and persisted.
+    """
+    anchors = PeriodAnchors.of(as_of)
+    wanted = {name: REPORTS[name] for name in names}
+    uses = Counter(chosen.family for chosen in wanted.values())
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist())
+        return df
+
+    funnels = [family for family in uses if isinstance(family, families.Funnel)]
+    cube = keep(families.funnel_cube(sources, anchors)) if len(funnels) > 1 else None
+    tables = {}
+    for family, readers in uses.items():
+        if cube is not None and family in funnels:
+            tables[family] = family.rolled_up(cube)
+        else:
+            table = family(sources, anchors)
+            tables[family] = keep(table) if readers > 1 else table
+    try:
+        yield {name: chosen.finish(tables[chosen.family]) for name, chosen in wanted.items()}
+    finally:
+        for df in kept:
+            df.unpersist()

@@ -5,6 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lendlens.functions.anchors import PeriodAnchors
+from lendlens.operators import tags
 from lendlens.operators.range_sums import sums_before
 from lendlens.plans.reports import REPORTS, report, reports
 from lendlens.sources.sample import sample
@@ -76,13 +78,13 @@ def test_either_date_bound_reaches_the_scan(spark, stored):
 @pytest.mark.parametrize(
     "name, expected",
     [
-        # One shuffle for the groups; a join adds one per side, its tags side's serving
-        # the count as well; each range join adds one.
+        # One shuffle for the groups; the tag join adds one per side and one for the
+        # counts; each range join adds one.
         ("rpt_changes_mom", 1),
         ("rpt_volume_projection", 1),
         ("rpt_partner_ats", 1),
-        ("rpt_repeat_ats", 3),
-        ("rpt_repeat_starts", 3),
+        ("rpt_repeat_ats", 4),
+        ("rpt_repeat_starts", 4),
         ("rpt_channel_ats", 3),
     ],
 )
@@ -94,11 +96,16 @@ def test_shuffles(spark, stored, name, expected):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_reports_with_one_table_share_it(spark, stored):
-    made = reports(Sources.from_parquet(spark, stored), REPORTS, AS_OF)
-    assert set(made) == set(REPORTS)
-    assert made["rpt_topup_ats"] is made["rpt_topup_starts"]
-    assert len({id(df) for df in made.values()}) == 10
+def test_reports_together_share_scans(spark, stored):
+    sources = Sources.from_parquet(spark, stored)
+    alone = {name: report(sources, name, AS_OF).collect() for name in REPORTS}
+    with reports(sources, REPORTS, AS_OF) as made:
+        assert {name: df.collect() for name, df in made.items()} == alone
+        funnels = [made[n] for n in ("rpt_changes_mom", "rpt_partner_ats", "rpt_topup_ats")]
+        assert all("InMemoryTableScan" in plan(df) for df in funnels)
+        repeat = [df for name, df in made.items() if name.startswith("rpt_repeat")]
+        assert sum("InMemoryTableScan" in plan(df) for df in repeat) == 3
+    assert "InMemoryTableScan" not in plan(report(sources, "rpt_changes_mom", AS_OF))
 
 
 @pytest.fixture
@@ -117,6 +124,23 @@ def small_skew_limits(spark):
         spark.conf.unset(key)
 
 
+def test_tag_join_splits_a_hot_application(spark, small_skew_limits):
+    apps = spark.range(200_000).selectExpr(
+        "if(id % 3 = 0, 7, id) as id", "md5(cast(id as string)) as payload"
+    )
+    marked = spark.range(400_000).selectExpr(
+        "id % 100000 as loan_application_id_ref",
+        "if(id % 2 = 0, 'LOW_AND_GROW', 'STARTER_REPEAT') as tag_name",
+        "timestamp_ntz'2000-03-01' as date_created",
+    )
+    counts = tags.tag_counts(marked, PeriodAnchors.of(AS_OF))
+    joined = tags.left_two_tag_flags(apps, counts)
+    by_copies = joined.groupBy("copies").agg(F.count("*").alias("n"), F.max("payload"))
+    found = {row.copies: row.n for row in by_copies.collect()}
+    assert sum(found.values()) == 200_000 and set(found) == {1, 4}
+    assert "skew=true" in plan(by_copies).split("Initial Plan")[0]
+
+
 def test_spread_sums_read_their_points_once_and_split_hot_probes(spark, small_skew_limits):
     events = spark.range(100_000).selectExpr("id % 1000 as key", "id as tick", "1 as n")
     probes = spark.range(200_000).selectExpr(
