@@ -32,17 +32,18 @@ def measure_terms(
     if grain == "date":
         created, disbursed = F.to_date(created), F.to_date(disbursed)
     last, current = anchors.last_period(grain), anchors.current_period(grain)
+    paid_last, paid_current = last.holds(disbursed), current.holds(disbursed)
 
     def term(wanted: Column, value: Column) -> Column:
-        return F.when(wanted, value).otherwise(F.lit(0))
+        return F.when(wanted, value).otherwise(0)
 
     return {
         "last_starts": term(last.holds(created), rows),
         "current_starts": term(current.holds(created), rows),
-        "last_disbursed": term(last.holds(disbursed), rows),
-        "current_disbursed": term(current.holds(disbursed), rows),
-        "last_disbursed_amt": term(last.holds(disbursed), amount),
-        "current_disbursed_amt": term(current.holds(disbursed), amount),
+        "last_disbursed": term(paid_last, rows),
+        "current_disbursed": term(paid_current, rows),
+        "last_disbursed_amt": term(paid_last, amount),
+        "current_disbursed_amt": term(paid_current, amount),
     }
 
 

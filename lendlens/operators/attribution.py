@@ -61,14 +61,14 @@ def _left(rows: DataFrame, counted: DataFrame, key: str, name: str) -> DataFrame
 
 def history_matches(apps: DataFrame, history: DataFrame, limit: int = KEY_LIMIT) -> DataFrame:
     """Applications with ``history_matches``; a left join has max(matches, 1) rows."""
-    heavy = has_heavy_key({USER: [apps, history]}, limit)
+    heavy = has_heavy_key([(apps, [USER]), (history, [USER])], limit)
     counted = _earlier_matches(apps, history, USER, "history_matches", heavy)
     return _left(apps, counted, USER, "history_matches")
 
 
 def install_matches(history: DataFrame, installs: DataFrame, limit: int = KEY_LIMIT) -> DataFrame:
     """History rows with ``install_matches``, counted as in ``history_matches``."""
-    heavy = has_heavy_key({SOURCE: [history, installs]}, limit)
+    heavy = has_heavy_key([(history, [SOURCE]), (installs, [SOURCE])], limit)
     counted = _earlier_matches(history, installs, SOURCE, "install_matches", heavy)
     return _left(history, counted, SOURCE, "install_matches")
 
@@ -88,7 +88,9 @@ def attributed_rows(
     apps, history, installs = (
         filters.lookback_150d(table, anchors) for table in (apps, history, installs)
     )
-    heavy = has_heavy_key({USER: [apps, history], SOURCE: [history, installs]}, limit)
+    heavy = has_heavy_key(
+        [(apps, [USER]), (history, [USER, SOURCE]), (installs, [SOURCE])], limit
+    )
     weighted = _earlier_matches(history, installs, SOURCE, "install_matches", heavy)
     return _earlier_matches(apps, weighted, USER, "joined_rows", heavy, weight="install_matches")
 
@@ -108,7 +110,9 @@ def channel_measures(
     apps, history, installs = (
         filters.lookback_150d(table, anchors) for table in (apps, history, installs)
     )
-    heavy = has_heavy_key({USER: [apps, history], SOURCE: [history, installs]}, limit)
+    heavy = has_heavy_key(
+        [(apps, [USER]), (history, [USER, SOURCE]), (installs, [SOURCE])], limit
+    )
 
     terms = measure_terms(
         anchors,

@@ -26,6 +26,7 @@ MICROS_PER_HOUR = 60 * MICROS_PER_MINUTE
 
 # Rows of one key that a single task may sort.
 KEY_LIMIT = 5_000_000
+BUCKETS = 1 << 18
 
 
 def tick_of(column: str) -> Column:
@@ -33,19 +34,22 @@ def tick_of(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def has_heavy_key(tables: Mapping[str, Sequence[DataFrame]], limit: int = KEY_LIMIT) -> bool:
-    """Whether any value of a key column has more than ``limit`` rows in its tables.
+def has_heavy_key(
+    tables: Sequence[tuple[DataFrame, Sequence[str]]], limit: int = KEY_LIMIT
+) -> bool:
+    """Whether a value of a key column may have more than ``limit`` rows in its tables.
 
-    Runs one job; the driver gets one number per key column.
+    ``tables`` pairs each table with its key columns. Rows are counted by hash bucket of
+    the key, an upper bound for any key in it, so that the one job shuffles counts only.
     """
 
-    def heaviest(key: str, holders: Sequence[DataFrame]) -> DataFrame:
-        rows = reduce(DataFrame.unionAll, (holder.select(key) for holder in holders))
-        counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-        return counts.agg(F.max("n").alias("n"))
+    def buckets(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+        pairs = ", ".join(f"'{key}', {key} is null, pmod(hash({key}), {BUCKETS})" for key in keys)
+        return table.selectExpr(f"stack({len(keys)}, {pairs}) as (key, missing, bucket)")
 
-    tops = reduce(DataFrame.unionAll, (heaviest(key, held) for key, held in tables.items()))
-    return any((row.n or 0) > limit for row in tops.collect())
+    rows = reduce(DataFrame.unionAll, (buckets(table, keys) for table, keys in tables))
+    counts = rows.filter("not missing").groupBy("key", "bucket").agg(F.count("*").alias("n"))
+    return (counts.agg(F.max("n")).first()[0] or 0) > limit
 
 
 def sums_before(

@@ -42,26 +42,32 @@ def _by_programme(df: DataFrame) -> DataFrame:
     return ordered(df, "programme")
 
 
-def repeat_buckets_only(df: DataFrame) -> DataFrame:
-    repeat = filters.among(df, "programme", [k.MVL_REPEAT, k.DP_REPEAT])
-    return filters.among(
-        repeat, "repeat_bucket", [k.BUCKET_LOW_AND_GROW, k.BUCKET_STARTER, k.BUCKET_REGULAR]
-    )
+def _repeat_buckets(family: Family) -> Family:
+    def table(sources: Sources, anchors: PeriodAnchors) -> DataFrame:
+        repeat = filters.among(
+            family(sources, anchors), "programme", [k.MVL_REPEAT, k.DP_REPEAT]
+        )
+        return filters.among(
+            repeat, "repeat_bucket", [k.BUCKET_LOW_AND_GROW, k.BUCKET_STARTER, k.BUCKET_REGULAR]
+        )
+
+    return table
+
+
+_REPEAT_CUSTOMERS = _repeat_buckets(families.repeat_customers)
+_REPEAT_STARTS = _repeat_buckets(families.repeat_starts)
 
 
 def _repeat_pair(last: str, current: str) -> Callable[[DataFrame], DataFrame]:
     def finish(df: DataFrame) -> DataFrame:
-        kept = repeat_buckets_only(df)
-        return ordered(metric_pair(kept, "repeat_bucket", last, current), "repeat_bucket")
+        return ordered(metric_pair(df, "repeat_bucket", last, current), "repeat_bucket")
 
     return finish
 
 
 def _repeat_starts(df: DataFrame) -> DataFrame:
-    kept = repeat_buckets_only(df).select(
-        "repeat_bucket", "last_starts", "current_starts", "change_in_starts_pct"
-    )
-    return ordered(kept, "repeat_bucket")
+    shown = df.select("repeat_bucket", "last_starts", "current_starts", "change_in_starts_pct")
+    return ordered(shown, "repeat_bucket")
 
 
 _PARTNERS = Report(families.partners, _programme_rows(k.DP_NEW, "partner_bucket"))
@@ -86,13 +92,13 @@ REPORTS: dict[str, Report] = {
     "rpt_channel_ats": _CHANNELS,
     "rpt_channel_conversion": _CHANNELS,
     "rpt_repeat_disb_amount": Report(
-        families.repeat_customers, _repeat_pair("last_disbursed_amt", "current_disbursed_amt")
+        _REPEAT_CUSTOMERS, _repeat_pair("last_disbursed_amt", "current_disbursed_amt")
     ),
-    "rpt_repeat_ats": Report(families.repeat_customers, _repeat_pair("last_ats", "current_ats")),
+    "rpt_repeat_ats": Report(_REPEAT_CUSTOMERS, _repeat_pair("last_ats", "current_ats")),
     "rpt_repeat_conversion": Report(
-        families.repeat_customers, _repeat_pair("last_conversion", "current_conversion")
+        _REPEAT_CUSTOMERS, _repeat_pair("last_conversion", "current_conversion")
     ),
-    "rpt_repeat_starts": Report(families.repeat_starts, _repeat_starts),
+    "rpt_repeat_starts": Report(_REPEAT_STARTS, _repeat_starts),
     "rpt_topup_conversion": _TICKETS,
     "rpt_topup_disb_amount": _TICKETS,
     "rpt_topup_starts": _TICKETS,

@@ -53,11 +53,13 @@ def test_against_pairs(spark, sums, later, heavy):
 
 
 def test_heavy_key(spark):
-    left = spark.createDataFrame([("a",)] * 3 + [(None,)] * 9, "key string")
+    left = spark.createDataFrame([("a", 1)] * 3 + [(None, 1)] * 9, "key string, other int")
     right = spark.createDataFrame([("a",), ("b",)], "key string")
-    assert has_heavy_key({"key": [left, right]}, limit=3)
-    assert not has_heavy_key({"key": [left, right]}, limit=4)
-    assert not has_heavy_key({"key": [left.limit(0)]}, limit=0)
+    assert has_heavy_key([(left, ["key"]), (right, ["key"])], limit=3)
+    assert not has_heavy_key([(left, ["key"]), (right, ["key"])], limit=4)
+    assert has_heavy_key([(left, ["key", "other"]), (right, ["key"])], limit=11)
+    assert not has_heavy_key([(left, ["key", "other"]), (right, ["key"])], limit=12)
+    assert not has_heavy_key([(left.limit(0), ["key"])], limit=0)
 
 
 def busy(spark):
