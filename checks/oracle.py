@@ -368,8 +368,9 @@ def build(as_of: str) -> dict[str, str]:
 
     def by_programme(source: str, *names: str) -> str:
         named = ", ".join(f"{volumes[name]} AS {name}" for name in names)
-        return f"""SELECT programme, {named} FROM
-            (SELECT *, {NON_NULL} AS programme FROM {source}) GROUP BY programme ORDER BY programme"""
+        return f"""SELECT programme, {named}
+            FROM (SELECT *, {NON_NULL} AS programme FROM {source})
+            GROUP BY programme ORDER BY programme"""
 
     paid_lately = f"""(SELECT * FROM loan_application WHERE loan_product_id IN ('1', '5', '6')
         AND {paid} >= {c.last_first})"""

@@ -44,8 +44,13 @@ def has_heavy_key(
     """
 
     def buckets(table: DataFrame, keys: Sequence[str]) -> DataFrame:
-        pairs = ", ".join(f"'{key}', {key} is null, pmod(hash({key}), {BUCKETS})" for key in keys)
-        return table.selectExpr(f"stack({len(keys)}, {pairs}) as (key, missing, bucket)")
+        # Hashed as text, since tables may hold a key in different integer types.
+        counted = (
+            f"'{key}', {key} is null, pmod(hash(cast({key} as string)), {BUCKETS})" for key in keys
+        )
+        return table.selectExpr(
+            f"stack({len(keys)}, {', '.join(counted)}) as (key, missing, bucket)"
+        )
 
     rows = reduce(DataFrame.unionAll, (buckets(table, keys) for table, keys in tables))
     counts = rows.filter("not missing").groupBy("key", "bucket").agg(F.count("*").alias("n"))

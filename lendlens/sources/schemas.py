@@ -1,7 +1,7 @@
 """The four source relations: the columns read and the types accepted for each.
 
-An instant may be stored with or without a zone, or as a date; it is compared in its
-stored type so that bounds reach the scan.
+An instant may be stored with or without a zone, a disbursal also as a date; instants
+are compared in their stored type so that bounds reach the scan.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 LONG = (T.LongType, T.IntegerType)
 TEXT = (T.StringType,)
-INSTANT = (T.TimestampNTZType, T.TimestampType, T.DateType)
+INSTANT = (T.TimestampNTZType, T.TimestampType)
+INSTANT_OR_DATE = (*INSTANT, T.DateType)
 NUMBER = (T.DecimalType, T.LongType, T.IntegerType, T.DoubleType)
 
 SCHEMAS = {
@@ -21,7 +22,7 @@ SCHEMAS = {
         "loan_product_id": TEXT,
         "app_name": TEXT,
         "date_created": INSTANT,
-        "disbursal_date": INSTANT,
+        "disbursal_date": INSTANT_OR_DATE,
         "loan_amount": NUMBER,
         "loan_tenure": LONG,
     },

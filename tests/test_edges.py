@@ -182,7 +182,9 @@ def test_branches(made, created, disbursed, branches):
     assert (row and row.branches) == branches
 
 
-@pytest.mark.parametrize("as_of, first", [("2000-08-31", "2000-07-01"), ("2001-01-31", "2000-12-01")])
+@pytest.mark.parametrize(
+    "as_of, first", [("2000-08-31", "2000-07-01"), ("2001-01-31", "2000-12-01")]
+)
 def test_sixty_days_miss_the_first_of_last_month(made, as_of, first):
     made.app(first, product="6").app(first[:8] + "02", product="6")
     starts = report(made.sources(), "rpt_repeat_starts", as_of).collect()
@@ -254,6 +256,7 @@ def test_channel_amount_of_only_unknown_amounts_is_unknown(made):
 
 
 def test_other_programmes_by_channel(made):
-    made.app("2000-03-05", product="6").visit(1, "a", "2000-03-01").install("a", "UAC", "2000-03-01")
+    made.app("2000-03-05", product="6")
+    made.visit(1, "a", "2000-03-01").install("a", "UAC", "2000-03-01")
     df = families.channels(made.sources(), ANCHORS.of(AS_OF), k.MVL_REPEAT)
     assert [(r.programme, r.current_starts) for r in df.collect()] == [(k.MVL_REPEAT, 1)]

@@ -139,7 +139,8 @@ def test_match_counts_keep_every_row(spark, limit):
         for user, _, seen in made.history
         if app[1] is not None and app[1] == user and (seen - app[4]).total_seconds() < 3600
     )
-    assert {row.id: row.history_matches for row in got} == {app[0]: pairs[app[0]] for app in made.apps}
+    expected = {app[0]: pairs[app[0]] for app in made.apps}
+    assert {row.id: row.history_matches for row in got} == expected
 
 
 @pytest.mark.parametrize("limit", [0, 10**9])
