@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import secrets, slots, url_filter
+from lendlens.llm import near_dedup, outliers, secrets, slots, url_filter
 
 #: Hosts whose canonical URLs make the list of the URL filter.
 LISTED_HOSTS = r"(^|\.)(casino|free-bets|ads-track|spam-farm|cheap-pills|adult)[a-z-]*\."
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.verdicts(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+
+
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return slots.sharded(docs)[0]
@@ -35,8 +39,12 @@ def op6_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(pages, listed)
 
 
+def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicated(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
-    made.__name__: made for made in (op2_virtual_slots, op3_markov_secrets, op6_blocked_bloom)
+    made.__name__: made for made in (op1_mcd_outliers, op2_virtual_slots, op3_markov_secrets, op6_blocked_bloom, op10_minhash_bayes)
 }
 
 ORACLE_SQL = {
