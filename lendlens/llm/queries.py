@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import near_dedup, outliers, secrets, slots, url_filter
+from lendlens.llm import decontamination, near_dedup, outliers, secrets, slots, url_filter
 
 #: Hosts whose canonical URLs make the list of the URL filter.
 LISTED_HOSTS = r"(^|\.)(casino|free-bets|ads-track|spam-farm|cheap-pills|adult)[a-z-]*\."
@@ -39,12 +39,17 @@ def op6_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(pages, listed)
 
 
+def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontamination.leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicated(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES = {
-    made.__name__: made for made in (op1_mcd_outliers, op2_virtual_slots, op3_markov_secrets, op6_blocked_bloom, op10_minhash_bayes)
+    made.__name__: made for made in (op1_mcd_outliers, op2_virtual_slots, op3_markov_secrets, op6_blocked_bloom, op8_simhash_windows, op10_minhash_bayes)
 }
 
 ORACLE_SQL = {
