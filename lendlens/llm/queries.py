@@ -8,7 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import decontamination, near_dedup, outliers, secrets, slots, url_filter
+from lendlens.llm import (
+    decontamination,
+    density,
+    language_id,
+    mixing,
+    near_dedup,
+    outliers,
+    secrets,
+    slots,
+    surrogates,
+    url_filter,
+)
 
 #: Hosts whose canonical URLs make the list of the URL filter.
 LISTED_HOSTS = r"(^|\.)(casino|free-bets|ads-track|spam-farm|cheap-pills|adult)[a-z-]*\."
@@ -31,6 +42,14 @@ def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.anonymised(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.uses(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
 def op6_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
     listed = pages.filter(url_filter.host(F.col("url")).rlike(LISTED_HOSTS)).select(
@@ -39,17 +58,37 @@ def op6_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(pages, listed)
 
 
+def op7_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontamination.leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicated(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES = {
-    made.__name__: made for made in (op1_mcd_outliers, op2_virtual_slots, op3_markov_secrets, op6_blocked_bloom, op8_simhash_windows, op10_minhash_bayes)
+    made.__name__: made
+    for made in (
+        op1_mcd_outliers,
+        op2_virtual_slots,
+        op3_markov_secrets,
+        op4_keyed_surrogates,
+        op5_temperature_mixing,
+        op6_blocked_bloom,
+        op7_bitmask_language,
+        op8_simhash_windows,
+        op9_text_density,
+        op10_minhash_bayes,
+    )
 }
 
 ORACLE_SQL = {
