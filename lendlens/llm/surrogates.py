@@ -50,16 +50,20 @@ KINDS = {
     "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)"
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
+    r"|(?<![\w+])\+\d{1,3}(?:[ .-]\(?\d{1,4}\)?){2,5}(?!\w)"
     r"|(?<![\w+])\+\d{7,14}(?!\w)",
     "name": rf"(?<!\w)(?:{_HONORIFIC})\.? (?P<name>{_NAME}(?: {_NAME})?)",
 }
 _FOUND = {kind: re.compile(pattern) for kind, pattern in KINDS.items()}
 #: Fewest digits of a telephone number.
 PHONE_DIGITS = 7
+#: A country code that is set apart from the number; it stays as it is.
+_COUNTRY = re.compile(r"^\+\d{1,3}[ .-]")
 #: What a text must hold to be searched for a kind.
 _NEEDS = {"email": "@", "ipv6": ":", "ssn": "-"}
 _DIGIT = re.compile(r"\d")
+_TAKEN = "\0"
 
 #: Given names by gender and script; family names are made of syllables.
 GIVEN = {
@@ -91,11 +95,11 @@ def script(name: str) -> str:
 def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, canonical value, detail) of every entity, in order."""
     found: list[tuple[int, int, str, str, str]] = []
-    taken = bytearray(len(text))
     some_digit = _DIGIT.search(text) is not None
     for kind, pattern in _FOUND.items():
         if _NEEDS.get(kind, "") not in text or kind not in ("email", "name") and not some_digit:
             continue
+        spans = []
         for match in pattern.finditer(text):
             start, end = match.span("name" if kind == "name" else 0)
             value = text[start:end]
@@ -104,15 +108,22 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
                 detail = gender(text[match.start() : start]) + script(value)
             elif kind == "phone" and len(re.sub(r"\D", "", value)) < PHONE_DIGITS:
                 continue
-            if any(taken[start:end]):
-                continue
-            taken[start:end] = b"\1" * (end - start)
+            spans.append((start, end))
             found.append((start, end, kind, canonical(kind, value, detail), detail))
+        if spans:
+            # Later kinds do not see what is taken.
+            edges = [0, *(edge for span in spans for edge in span), len(text)]
+            text = "".join(
+                text[a:b] if i % 2 == 0 else _TAKEN * (b - a)
+                for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
+            )
     return sorted(found)
 
 
 def canonical(kind: str, value: str, detail: str = "") -> str:
     """What all writings of an entity have in common."""
+    if kind == "phone":
+        value = _COUNTRY.sub("", value)
     if kind in ("card", "phone", "ssn"):
         return re.sub(r"\D", "", value)
     if kind == "iban":
@@ -202,9 +213,11 @@ def written_like(kind: str, mention: str, made: str) -> str:
     if kind == "name":
         return made.partition(":")[2]
     if kind in ("card", "phone", "ssn", "iban"):
+        code = _COUNTRY.match(mention) if kind == "phone" else None
+        kept = code.end() if code else 0
         left = iter(made)
-        shown = "".join(next(left, "") if c.isalnum() else c for c in mention)
-        return shown + "".join(left)
+        shown = "".join(next(left, "") if c.isalnum() else c for c in mention[kept:])
+        return mention[:kept] + shown + "".join(left)
     if mention.isupper():
         return made.upper()
     if len(mention) == len(made):
