@@ -1,0 +1,63 @@
+"""Language identification: held-out accuracy, corrections, defined results."""
+
+import zlib
+
+import numpy as np
+
+from lendlens.llm import language_id, queries
+from tests.conftest import TESTDATA
+
+
+def test_held_out_accuracy(spark):
+    rows = queries.op7_bitmask_language(spark, f"{TESTDATA}/sf0.1").toPandas()
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.1/documents.parquet").toPandas()
+    rows = rows.merge(docs[["doc_id", "lang"]], on="doc_id")
+    assert len(rows) == len(docs)
+    unseen = rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)
+    assert (rows.held_out == unseen).all()
+    held_out = rows[rows.held_out]
+    assert (held_out.lang == held_out.lang_pred).mean() > 0.99
+    assert rows.score.between(0, 1).all()
+
+
+def test_filter_returns_all_languages_of_a_trigram():
+    rng = np.random.default_rng(1)
+    grams = rng.integers(0, 1 << 63, 30_000).astype(np.uint64)
+    masks = rng.integers(1, 8, 30_000).astype(np.uint64)
+    filters = language_id.Filters(["a", "b", "c"], grams, masks)
+    found = np.full(len(grams), np.iinfo(np.uint64).max, np.uint64)
+    for at in language_id._positions(grams):
+        found &= filters.masks[at]
+    assert ((found & masks) == masks).all()
+    others = rng.integers(0, 1 << 63, 200_000).astype(np.uint64)
+    found = np.full(len(others), np.iinfo(np.uint64).max, np.uint64)
+    for at in language_id._positions(others):
+        found &= filters.masks[at]
+    rates = [filters._has(found, i).mean() for i in range(3)]
+    assert np.allclose(rates, filters.false, atol=5e-4)
+
+
+def test_chunks_do_not_change_a_long_text(monkeypatch):
+    text = "Ein Text, der über mehrere Stücke geht. " * 50
+    whole = np.sort(np.concatenate(list(language_id.trigrams(text))))
+    monkeypatch.setattr(language_id, "_CHUNK", 64)
+    parts = np.concatenate(list(language_id.trigrams(text)))
+    assert set(whole.tolist()) <= set(parts.tolist())
+
+
+def test_edges(edge_docs, no_docs):
+    rows = language_id.identified(edge_docs).collect()
+    assert len(rows) == edge_docs.count()
+    by_id = {row["doc_id"]: row for row in rows}
+    for empty in (1, 2, 3):
+        assert (by_id[empty]["lang_pred"], by_id[empty]["score"]) == ("und", 0.0)
+    assert by_id[4]["lang_pred"] in ("en", "de") and by_id[None]["held_out"] is False
+    assert language_id.identified(no_docs).count() == 0
+
+
+def test_no_training_language(spark):
+    docs = spark.createDataFrame(
+        [(1, "some text", None)], "doc_id long, text string, lang string"
+    )
+    (row,) = language_id.identified(docs).collect()
+    assert row["lang_pred"] == "und"
