@@ -299,7 +299,7 @@ def build(as_of: str) -> dict[str, str]:
         FROM loan_application a LEFT JOIN app_user_history h
         ON a.user_id_ref = h.user_id_ref AND a.date_created > h.date_created - INTERVAL 1 HOUR
         GROUP BY ALL"""
-    sql["join_install_range"] = """SELECT substring(h.attribution_id, 1, 5) AS source,
+    sql["join_install_range"] = """SELECT h.attribution_id AS source,
         CAST(i.attribution_id IS NOT NULL AS INTEGER) AS matched,
         count(DISTINCT h.row_id) AS applications, count(*) AS joined_rows
         FROM (SELECT *, row_number() OVER () AS row_id FROM app_user_history) h
@@ -318,7 +318,9 @@ def build(as_of: str) -> dict[str, str]:
     sql["join_null_rejecting_where"] = f"""SELECT {SINGLE} AS programme,
         count(DISTINCT id) AS applications, count(*) AS joined_rows
         FROM {attributed} GROUP BY ALL"""
-    sql["join_spread_keys"] = sql["join_null_rejecting_where"]
+    sql["join_spread_keys"] = f"""SELECT id,
+        count(DISTINCT id) AS applications, count(*) AS joined_rows
+        FROM {attributed} GROUP BY ALL"""
     sql["join_cross_params"] = f"""SELECT CAST({c.now} AS VARCHAR) AS now_ts,
         CAST({c.first_ts} AS VARCHAR) AS current_month_start,
         CAST({c.last_first_ts} AS VARCHAR) AS last_month_start,

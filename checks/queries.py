@@ -474,7 +474,7 @@ def join_install_range(s, a):
     return join_counts(
         matched,
         left_join_rows("install_matches"),
-        F.substring("attribution_id", 1, 5).alias("source"),
+        F.col("attribution_id").alias("source"),
         (F.col("install_matches") > 0).cast("int").alias("matched"),
     )
 
@@ -490,12 +490,11 @@ def join_null_rejecting_where(s, a):
 
 @query
 def join_spread_keys(s, a):
-    """The same with every key taken for a heavy one."""
+    """The same by application."""
     rows = attribution.attributed_rows(
-        s.loan_application, s.app_user_history, s.install_event, a, limit=0
+        s.loan_application, s.app_user_history, s.install_event, a
     )
-    programme = classify.programme_single_app().alias("programme")
-    return join_counts(rows, F.col("joined_rows"), programme)
+    return join_counts(rows, F.col("joined_rows"), "id")
 
 
 @query

@@ -7,7 +7,7 @@ so filters on it reach the scan; given a column it is computed per row.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime
 from functools import cached_property
 
 from pyspark.sql import Column
@@ -27,18 +27,33 @@ class Period:
         return value.between(self.start, self.end)
 
 
+def _in_utc(instant: datetime | str) -> str:
+    """An instant's time in UTC as text; text that is not ISO is left to Spark."""
+    if isinstance(instant, str):
+        try:
+            parsed = datetime.fromisoformat(instant.strip())
+        except ValueError:
+            return instant
+        if parsed.tzinfo is None:
+            return instant
+        instant = parsed
+    if instant.tzinfo is not None:
+        instant = instant.astimezone(UTC).replace(tzinfo=None)
+    return str(instant)
+
+
 class PeriodAnchors:
     def __init__(self, now: Column):
         self.now = now.cast(INSTANT)
 
     @classmethod
     def of(cls, as_of: Column | datetime | str | None = None) -> PeriodAnchors:
-        """``None`` means the clock at execution time."""
-        if as_of is None:
-            return cls(F.localtimestamp())
+        """An instant without zone is UTC; ``None`` means the clock, read once, here."""
         if isinstance(as_of, Column):
             return cls(as_of)
-        return cls(F.lit(str(as_of)))
+        if as_of is None:
+            as_of = datetime.now(UTC)
+        return cls(F.lit(_in_utc(as_of)))
 
     # Calendar days.
 

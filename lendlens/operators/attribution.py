@@ -17,40 +17,33 @@ from lendlens.functions import classify
 from lendlens.functions.anchors import PeriodAnchors
 from lendlens.operators import filters
 from lendlens.operators.aggregates import AMOUNTS, MEASURES, measure_terms
-from lendlens.operators.range_sums import (
-    KEY_LIMIT,
-    MICROS_PER_HOUR,
-    has_heavy_key,
-    sums_after,
-    sums_before,
-    tick_of,
-)
+from lendlens.operators.range_sums import MICROS_PER_HOUR, sums_after, sums_before, tick_of
 
 SLACK = k.SLACK_HOURS * MICROS_PER_HOUR
 USER, SOURCE = "user_id_ref", "attribution_id"
 
-AMOUNT = "decimal(38,2)"
 # Besides the six measures, joined rows and, for amounts, rows whose amount is unknown.
 UNKNOWN = {name: f"{name}_unknown" for name in AMOUNTS}
-CARRIED = {
-    **{name: AMOUNT if name in AMOUNTS else "bigint" for name in MEASURES},
-    **dict.fromkeys(UNKNOWN.values(), "bigint"),
-    "joined_rows": "bigint",
-}
+CARRIED = (*MEASURES, *UNKNOWN.values(), "joined_rows")
 
 
 def _earlier_matches(
-    rows: DataFrame, earlier: DataFrame, key: str, name: str, heavy: bool, weight: str | None = None
+    rows: DataFrame, earlier: DataFrame, key: str, name: str, weight: str | None = None
 ) -> DataFrame:
-    """``rows`` plus the (weighted) count of ``earlier`` rows it joins to, if any."""
+    """``rows`` that have a key and a date plus the (weighted) count of what they join to.
+
+    Counts are found per key and instant; the adaptive skew join splits the rows that
+    share one.
+    """
     events = earlier.select(
         key,
         tick_of("date_created").alias("tick"),
-        (F.lit(1) if weight is None else F.col(weight)).alias(name),
+        (F.lit(1).cast("long") if weight is None else F.col(weight)).alias(name),
     )
     ahead = rows.withColumn("tick", tick_of("date_created") + SLACK)
-    counted = sums_before(events, ahead, key, {name: "bigint"}, heavy)
-    return counted.filter(F.col(name) > 0).drop("tick") if weight else counted.drop("tick")
+    points = ahead.select(key, "tick").distinct()
+    counted = sums_before(events, points, key, [name], [(earlier, key), (rows, key)])
+    return ahead.join(counted, [key, "tick"]).select(*rows.columns, name)
 
 
 def _left(rows: DataFrame, counted: DataFrame, key: str, name: str) -> DataFrame:
@@ -59,26 +52,20 @@ def _left(rows: DataFrame, counted: DataFrame, key: str, name: str) -> DataFrame
     return counted.unionByName(unmatchable.withColumn(name, F.lit(0).cast("long")))
 
 
-def history_matches(apps: DataFrame, history: DataFrame, limit: int = KEY_LIMIT) -> DataFrame:
+def history_matches(apps: DataFrame, history: DataFrame) -> DataFrame:
     """Applications with ``history_matches``; a left join has max(matches, 1) rows."""
-    heavy = has_heavy_key([(apps, [USER]), (history, [USER])], limit)
-    counted = _earlier_matches(apps, history, USER, "history_matches", heavy)
+    counted = _earlier_matches(apps, history, USER, "history_matches")
     return _left(apps, counted, USER, "history_matches")
 
 
-def install_matches(history: DataFrame, installs: DataFrame, limit: int = KEY_LIMIT) -> DataFrame:
+def install_matches(history: DataFrame, installs: DataFrame) -> DataFrame:
     """History rows with ``install_matches``, counted as in ``history_matches``."""
-    heavy = has_heavy_key([(history, [SOURCE]), (installs, [SOURCE])], limit)
-    counted = _earlier_matches(history, installs, SOURCE, "install_matches", heavy)
+    counted = _earlier_matches(history, installs, SOURCE, "install_matches")
     return _left(history, counted, SOURCE, "install_matches")
 
 
 def attributed_rows(
-    apps: DataFrame,
-    history: DataFrame,
-    installs: DataFrame,
-    anchors: PeriodAnchors,
-    limit: int = KEY_LIMIT,
+    apps: DataFrame, history: DataFrame, installs: DataFrame, anchors: PeriodAnchors
 ) -> DataFrame:
     """Applications with ``joined_rows``: history-install pairs, all within the lookback.
 
@@ -88,72 +75,79 @@ def attributed_rows(
     apps, history, installs = (
         filters.lookback_150d(table, anchors) for table in (apps, history, installs)
     )
-    heavy = has_heavy_key(
-        [(apps, [USER]), (history, [USER, SOURCE]), (installs, [SOURCE])], limit
-    )
-    weighted = _earlier_matches(history, installs, SOURCE, "install_matches", heavy)
-    return _earlier_matches(apps, weighted, USER, "joined_rows", heavy, weight="install_matches")
+    weighted = _earlier_matches(history, installs, SOURCE, "install_matches")
+    weighted = weighted.filter("install_matches > 0")
+    joined = _earlier_matches(apps, weighted, USER, "joined_rows", weight="install_matches")
+    return joined.filter("joined_rows > 0")
 
 
 def channel_measures(
-    apps: DataFrame,
-    history: DataFrame,
-    installs: DataFrame,
-    anchors: PeriodAnchors,
-    limit: int = KEY_LIMIT,
+    apps: DataFrame, history: DataFrame, installs: DataFrame, anchors: PeriodAnchors
 ) -> DataFrame:
     """The six measures by campaign type over the attributed applications.
 
     Applications push their measures to the history rows they join to, and those push
-    the sums on to installs, so that each table's rows are carried once.
+    the sums on to installs, so that each table's rows are carried once. Equal history
+    rows, and equal installs, are one row with a count.
     """
     apps, history, installs = (
         filters.lookback_150d(table, anchors) for table in (apps, history, installs)
     )
-    heavy = has_heavy_key(
-        [(apps, [USER]), (history, [USER, SOURCE]), (installs, [SOURCE])], limit
-    )
-
     terms = measure_terms(
         anchors,
         "date",
         F.col("date_created"),
         F.col("disbursal_date"),
-        F.lit(1),
+        F.lit(1).cast("long"),
         F.col("loan_amount"),
     )
     applied = apps.select(
         USER,
         tick_of("date_created").alias("tick"),
         *(term.alias(name) for name, term in terms.items()),
-        *(terms[name].isNull().cast("int").alias(flag) for name, flag in UNKNOWN.items()),
-        F.lit(1).alias("joined_rows"),
+        *(terms[name].isNull().cast("long").alias(flag) for name, flag in UNKNOWN.items()),
+        F.lit(1).cast("long").alias("joined_rows"),
     )
-    visits = history.select(
-        USER,
-        SOURCE,
-        tick_of("date_created").alias("visited"),
-        (tick_of("date_created") - SLACK).alias("tick"),
+    copies = F.count(F.lit(1)).alias("copies")
+    visits = (
+        history.select(USER, SOURCE, tick_of("date_created").alias("visited"))
+        .groupBy(USER, SOURCE, "visited")
+        .agg(copies)
+        .withColumn("tick", F.col("visited") - SLACK)
     )
     visited = (
-        sums_after(applied, visits, USER, CARRIED, heavy)
+        sums_after(applied, visits, USER, CARRIED, [(apps, USER), (history, USER)])
         .filter("joined_rows > 0")
-        .select(SOURCE, F.col("visited").alias("tick"), *CARRIED)
+        .select(
+            SOURCE,
+            F.col("visited").alias("tick"),
+            *((F.col(name) * F.col("copies")).alias(name) for name in CARRIED),
+        )
     )
-    installed = installs.select(
-        SOURCE,
-        classify.campaign_type().alias("campaign_type"),
-        (tick_of("date_created") - SLACK).alias("tick"),
+    installed = (
+        installs.select(
+            SOURCE,
+            classify.campaign_type().alias("campaign_type"),
+            (tick_of("date_created") - SLACK).alias("tick"),
+        )
+        .groupBy(SOURCE, "campaign_type", "tick")
+        .agg(copies)
     )
+    counted = [(history, SOURCE), (installs, SOURCE)]
     totals = (
-        sums_after(visited, installed, SOURCE, CARRIED, heavy)
+        sums_after(visited, installed, SOURCE, CARRIED, counted)
         .filter("joined_rows > 0")
         .groupBy("campaign_type")
-        .agg(*(F.expr(f"cast(sum({n}) as {kind}) as {n}") for n, kind in CARRIED.items()))
+        .agg(*(F.sum(F.col(name) * F.col("copies")).alias(name) for name in CARRIED))
     )
-    # A sum of nothing but unknown amounts is unknown, not zero.
+    # A sum of nothing but unknown amounts is unknown, not zero; amounts have the type of
+    # their sum over applications.
+    plain = apps.agg(*(F.sum(terms[name]).alias(name) for name in MEASURES))
+    kinds = {field.name: field.dataType.simpleString() for field in plain.schema}
     known = {
-        name: f"case when {flag} < joined_rows then {name} end as {name}"
-        for name, flag in UNKNOWN.items()
+        name: f"case when {flag} < joined_rows then {name} end" for name, flag in UNKNOWN.items()
     }
-    return totals.selectExpr("campaign_type", *(known.get(name, name) for name in MEASURES))
+    return totals.selectExpr(
+        "campaign_type",
+        *(f"cast({known.get(name, name)} as {kinds[name]}) as {name}" for name in MEASURES),
+    )

@@ -9,29 +9,29 @@ from pyspark.sql import functions as F
 
 from lendlens import constants as k
 from lendlens.functions.anchors import PeriodAnchors
+from lendlens.sources.schemas import layout_bound
 
-CREATED = "date_created"
-# A table may carry the calendar day of ``date_created``, e.g. as its partition column.
-CREATED_DAY = "created_day"
+CREATED, DISBURSED = "date_created", "disbursal_date"
+
+
+def _pruned(df: DataFrame, of: str, day: Column) -> DataFrame:
+    """Without the partitions that hold no row with ``of`` on or after a day."""
+    bound = layout_bound(df, of, day)
+    return df if bound is None else df.filter(bound)
 
 
 def created_since(df: DataFrame, bound: Column) -> DataFrame:
     """Rows created at or after an instant.
 
     The literal takes the column's type, never the other way round, so the bound
-    reaches the scan; a day column gets the matching bound and prunes partitions.
+    reaches the scan; a declared layout gets the matching bound and prunes partitions.
     """
-    keep = F.col(CREATED) >= bound.cast(df.schema[CREATED].dataType)
-    if CREATED_DAY in df.columns:
-        keep = keep & (F.col(CREATED_DAY) >= F.to_date(bound))
-    return df.filter(keep)
+    kept = df.filter(F.col(CREATED) >= bound.cast(df.schema[CREATED].dataType))
+    return _pruned(kept, CREATED, F.to_date(bound))
 
 
 def created_since_day(df: DataFrame, bound: Column) -> DataFrame:
-    keep = F.to_date(CREATED) >= bound
-    if CREATED_DAY in df.columns:
-        keep = keep & (F.col(CREATED_DAY) >= bound)
-    return df.filter(keep)
+    return _pruned(df.filter(F.to_date(CREATED) >= bound), CREATED, bound)
 
 
 def lookback_150d(df: DataFrame, anchors: PeriodAnchors) -> DataFrame:
@@ -47,20 +47,30 @@ def created_recently(anchors: PeriodAnchors) -> Column:
 
 
 def disbursed_recently(anchors: PeriodAnchors) -> Column:
-    return F.to_date("disbursal_date") >= anchors.days_ago(k.RECENT_DAYS)
+    return F.to_date(DISBURSED) >= anchors.days_ago(k.RECENT_DAYS)
 
 
 def disbursed_60d(df: DataFrame, anchors: PeriodAnchors) -> DataFrame:
-    return df.filter(disbursed_recently(anchors))
+    kept = df.filter(disbursed_recently(anchors))
+    return _pruned(kept, DISBURSED, anchors.days_ago(k.RECENT_DAYS))
 
 
 def either_date_60d(df: DataFrame, anchors: PeriodAnchors) -> DataFrame:
-    """One row per application that meets either bound."""
-    return df.filter(created_recently(anchors) | disbursed_recently(anchors))
+    """One row per application that meets either bound.
+
+    Partitions go only where both dates are laid out, as each rules out half the bound.
+    """
+    kept = df.filter(created_recently(anchors) | disbursed_recently(anchors))
+    day = anchors.days_ago(k.RECENT_DAYS)
+    created, disbursed = (layout_bound(df, of, day) for of in (CREATED, DISBURSED))
+    if created is None or disbursed is None:
+        return kept
+    return kept.filter(created | disbursed)
 
 
 def disbursed_since_last_month(df: DataFrame, anchors: PeriodAnchors) -> DataFrame:
-    return df.filter(F.to_date("disbursal_date") >= anchors.last_month_first)
+    kept = df.filter(F.to_date(DISBURSED) >= anchors.last_month_first)
+    return _pruned(kept, DISBURSED, anchors.last_month_first)
 
 
 def among(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:

@@ -4,29 +4,31 @@
 the events of its key on one side of its tick: what grouping an equi-plus-inequality
 join by its probe would give, at a cost linear in events and probes.
 
-Two plans give the same rows. While every key is small, events and probes of a key
-meet in one shuffle and a running sum answers the probes. A key with more rows than
-one task should take (``has_heavy_key`` looks before the plan is chosen) is spread
-out: rows of one key and tick collapse first, with map-side combine; running sums
-over the key run on its minute totals, at most one row per minute of the data's time
-span; running sums inside a minute run on that minute alone, seeded with the total
-carried in from the others; probes then take the sum at their tick by an equi join.
+Events and probes of a key meet in one shuffle, and a running sum answers the probes.
+Events of one key and tick are combined first, map-side where they can be. A key with more
+than ``TASK_ROWS`` rows does not meet in one task but in one per slice of time: the totals
+of its slices are carried on from slice to slice, and every slice starts from what was
+carried in. Which keys are split is found within the same lazy plan. There is at most
+one such key per ``TASK_ROWS`` rows, so their list may be broadcast. Splitting changes
+no result; sums have the type of Spark's ``sum`` and are rounded nowhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MICROS_PER_MINUTE = 60_000_000
-MICROS_PER_HOUR = 60 * MICROS_PER_MINUTE
+MICROS_PER_HOUR = 3_600_000_000
 
-# Rows of one key that a single task may sort.
-KEY_LIMIT = 5_000_000
-BUCKETS = 1 << 18
+# Rows of one key that meet in one task, and the time that a task takes of a larger key.
+TASK_ROWS = 2_000_000
+SLICE = MICROS_PER_HOUR
+
+Counted = Sequence[tuple[DataFrame, str]]
 
 
 def tick_of(column: str) -> Column:
@@ -34,124 +36,100 @@ def tick_of(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def has_heavy_key(
-    tables: Sequence[tuple[DataFrame, Sequence[str]]], limit: int = KEY_LIMIT
-) -> bool:
-    """Whether a value of a key column may have more than ``limit`` rows in its tables.
-
-    ``tables`` pairs each table with its key columns. Rows are counted by hash bucket of
-    the key, an upper bound for any key in it, so that the one job shuffles counts only.
-    """
-
-    def buckets(table: DataFrame, keys: Sequence[str]) -> DataFrame:
-        # Hashed as text, since tables may hold a key in different integer types.
-        counted = (
-            f"'{key}', {key} is null, pmod(hash(cast({key} as string)), {BUCKETS})" for key in keys
-        )
-        return table.selectExpr(
-            f"stack({len(keys)}, {', '.join(counted)}) as (key, missing, bucket)"
-        )
-
-    rows = reduce(DataFrame.unionAll, (buckets(table, keys) for table, keys in tables))
-    counts = rows.filter("not missing").groupBy("key", "bucket").agg(F.count("*").alias("n"))
-    return (counts.agg(F.max("n")).first()[0] or 0) > limit
-
-
 def sums_before(
-    events: DataFrame, probes: DataFrame, key: str, measures: Mapping[str, str], heavy: bool
+    events: DataFrame,
+    probes: DataFrame,
+    key: str,
+    measures: Sequence[str],
+    counted: Counted | None = None,
 ) -> DataFrame:
     """Probe rows with the sums over strictly earlier events."""
-    return _sums(events, probes, key, measures, heavy, later=False)
+    return _sums(events, probes, key, measures, counted, later=False)
 
 
 def sums_after(
-    events: DataFrame, probes: DataFrame, key: str, measures: Mapping[str, str], heavy: bool
+    events: DataFrame,
+    probes: DataFrame,
+    key: str,
+    measures: Sequence[str],
+    counted: Counted | None = None,
 ) -> DataFrame:
     """Probe rows with the sums over strictly later events."""
-    return _sums(events, probes, key, measures, heavy, later=True)
+    return _sums(events, probes, key, measures, counted, later=True)
+
+
+def summed_type(kind: T.DataType) -> str:
+    """The type that sums of sums of a column keep: Spark's, at full precision."""
+    if isinstance(kind, T.DecimalType):
+        return f"decimal(38,{kind.scale})"
+    return "double" if isinstance(kind, (T.DoubleType, T.FloatType)) else "bigint"
+
+
+def _large_keys(counted: Counted) -> DataFrame:
+    """``large_key``: keys with more than ``TASK_ROWS`` rows in the tables together."""
+    columns = [table.select(F.col(key).alias("large_key")) for table, key in counted]
+    rows = reduce(DataFrame.unionAll, columns).filter("large_key is not null")
+    counts = rows.groupBy("large_key").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") > TASK_ROWS).select("large_key")
 
 
 def _sums(
     events: DataFrame,
     probes: DataFrame,
     key: str,
-    measures: Mapping[str, str],
-    heavy: bool,
+    measures: Sequence[str],
+    counted: Counted | None,
     later: bool,
 ) -> DataFrame:
-    """``events`` has key, tick and the measures (name -> type); ``probes`` key, tick, more.
+    """``events`` has key, tick and the measures; ``probes`` key, tick and more.
 
-    Probes without key or tick match nothing and are left out.
+    Probes without key or tick match nothing and are left out. ``counted`` names the
+    tables and key columns that bound the rows of a key, by default events and probes.
     """
+    types = {f.name: summed_type(f.dataType) for f in events.schema if f.name in measures}
     matchable = f"{key} is not null and tick is not null"
-    plan = _spread if heavy else _per_key
-    return plan(events.filter(matchable), probes.filter(matchable), key, measures, later).select(
-        *probes.columns, *measures
-    )
-
-
-def _totals(measures: Mapping[str, str], over: str = "") -> list[Column]:
-    """The measures summed, over a window or as grouped aggregates; no rows sum to zero."""
-    return [
-        F.expr(f"cast(coalesce(sum({name}) {over}, 0) as {kind}) as {name}")
-        for name, kind in measures.items()
-    ]
-
-
-def _passed(keys: str, column: str, later: bool, frame: str) -> str:
-    """The window of rows passed on the way to this one."""
-    order = f"{column} {'desc' if later else 'asc'} nulls first"
-    bounds = f"{frame} between unbounded preceding and 1 preceding"
-    return f"over (partition by {keys} order by {order} {bounds})"
-
-
-def _per_key(
-    events: DataFrame, probes: DataFrame, key: str, measures: Mapping[str, str], later: bool
-) -> DataFrame:
-    rows = probes.withColumn("probed", F.lit(1)).unionByName(
-        events.select(key, "tick", *measures), allowMissingColumns=True
-    )
-    passed = _passed(key, "tick", later, "range")
-    return rows.select("probed", *probes.columns, *_totals(measures, passed)).filter("probed = 1")
-
-
-def _spread(
-    events: DataFrame, probes: DataFrame, key: str, measures: Mapping[str, str], later: bool
-) -> DataFrame:
-    rows = events.selectExpr(
-        key,
-        "tick",
-        "0 as probed",
-        *(f"cast({name} as {kind}) as {name}" for name, kind in measures.items()),
-    ).unionByName(
-        probes.selectExpr(
+    large = F.broadcast(_large_keys(counted or [(events, key), (probes, key)]))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        """With the slice of a row whose key is split."""
+        found = rows.filter(matchable).join(large, F.col(key).eqNullSafe(F.col("large_key")), "left")
+        slice_of = F.when(F.col("large_key").isNotNull(), F.floor(F.col("tick") / SLICE))
+        return found.withColumn("slice", slice_of).drop("large_key")
+
+    totals = [F.expr(f"cast(sum({name}) as {kind}) as {name}") for name, kind in types.items()]
+    all_events = sliced(events.groupBy(key, "tick").agg(*totals))
+    all_probes = sliced(probes).withColumn("probed", F.lit(1))
+    order = f"order by slice {'desc' if later else 'asc'}"
+    passed = f"over (partition by {key} {order} rows between unbounded preceding and 1 preceding)"
+    # Before the first, or after the last, tick of its slice.
+    edge = f"(slice + 1) * {SLICE}" if later else f"slice * {SLICE} - 1"
+    carried = (
+        all_events.drop("tick")
+        .unionByName(all_probes.select(key, "slice"), allowMissingColumns=True)
+        .filter("slice is not null")
+        .groupBy(key, "slice")
+        .agg(*totals)
+        .selectExpr(
             key,
-            "tick",
-            "1 as probed",
-            *(f"cast(0 as {kind}) as {name}" for name, kind in measures.items()),
+            "slice",
+            f"{edge} as tick",
+            *(f"cast(sum({name}) {passed} as {kind}) as {name}" for name, kind in types.items()),
         )
     )
-    # Read twice below, in one column order so that its exchange is run once.
-    points = (
-        rows.withColumn("minute", F.floor(F.col("tick") / MICROS_PER_MINUTE))
-        .groupBy(key, "minute", "tick")
-        .agg(F.max("probed").alias("probed"), *_totals(measures))
+    rows = all_probes.unionByName(all_events, allowMissingColumns=True).unionByName(
+        carried, allowMissingColumns=True
     )
-    passed_minutes = _passed(key, "minute", later, "rows")
-    carried = (
-        points.groupBy(key, "minute")
-        .agg(F.max("probed").alias("probed"), *_totals(measures))
-        .select(key, "minute", "probed", *_totals(measures, passed_minutes))
-        .filter("probed = 1")
-        .selectExpr(key, "minute", "cast(null as bigint) as tick", "0 as probed", *measures)
+    order = f"order by tick {'desc' if later else 'asc'}"
+    passed = (
+        f"over (partition by {key}, slice {order} range between unbounded preceding and 1 preceding)"
     )
-    # The carried total has no tick and comes first in its minute.
-    passed_ticks = _passed(f"{key}, minute", "tick", later, "rows")
     answers = (
-        carried.unionByName(points)
-        .select(key, "tick", "probed", *_totals(measures, passed_ticks))
+        f"cast(coalesce(sum({name}) {passed}, 0) as {kind}) as {name}"
+        for name, kind in types.items()
+    )
+    # The filter on the mark is not pushed below the window, whose rows it needs.
+    return (
+        rows.selectExpr("probed", *probes.columns, *answers)
         .filter("probed = 1")
-        .drop("probed")
+        .select(*probes.columns, *measures)
     )
-    # One answer per key and tick; a hot side of probes is split by the skew join.
-    return probes.join(answers, [key, "tick"])

@@ -1,8 +1,8 @@
 """The four relations derived from order and line-item tables (see FIXTURES.md).
 
 Labels come from the order key; times from the order and ship dates. Offsets stay
-within a day, so the order date is the ``created_day`` and bounds on it are pushed
-to the scan of the underlying table.
+within a day, so the order date is the day of ``date_created``; declared as a layout it
+takes bounds to the scan of the underlying table.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 from lendlens import constants as k
+from lendlens.sources.schemas import Layout
 from lendlens.sources.tables import Sources
 
 # Fixed values of the sample: label by remainder.
@@ -118,4 +119,6 @@ def sample(spark: SparkSession, directory: str) -> Sources:
         name, derive = RELATIONS[relation]
         return derive(table(name))
 
-    return Sources(spark, read)
+    laid_out = ("loan_application", "app_user_history", "install_event")
+    layout = [Layout("created_day", "date_created")]
+    return Sources(spark, read, dict.fromkeys(laid_out, layout))

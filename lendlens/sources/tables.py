@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,29 +10,62 @@ from pyspark.sql import functions as F
 
 from lendlens.functions.anchors import PeriodAnchors
 from lendlens.session import configure
-from lendlens.sources.schemas import checked
+from lendlens.sources.schemas import Layout, checked
+
+Layouts = Mapping[str, Sequence[Layout]]
 
 
 class Sources:
-    """Each relation is opened, and its schema checked, when first used."""
+    """Each relation is opened, and its schema checked, when first used.
+
+    ``layouts`` declares, by relation, the date columns that a table is laid out by.
+    """
 
-    def __init__(self, spark: SparkSession, read: Callable[[str], DataFrame]):
+    def __init__(
+        self,
+        spark: SparkSession,
+        read: Callable[[str], DataFrame],
+        layouts: Layouts | None = None,
+    ):
         self._read = read
+        self._layouts = layouts or {}
         configure(spark)
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, directory: str) -> Sources:
-        """One Parquet dataset per relation, ``<directory>/<relation>``."""
-        return cls(spark, lambda name: spark.read.parquet(f"{directory}/{name}"))
+    def from_parquet(
+        cls,
+        spark: SparkSession,
+        directory: str,
+        names: Mapping[str, str] | None = None,
+        layouts: Layouts | None = None,
+    ) -> Sources:
+        """One Parquet dataset per relation, ``<directory>/<relation>``.
+
+        ``names`` has the datasets called otherwise, as a name in the directory or as a
+        whole path.
+        """
+        named = names or {}
+
+        def read(relation: str) -> DataFrame:
+            name = named.get(relation, relation)
+            whole = name.startswith("/") or ":/" in name
+            return spark.read.parquet(name if whole else f"{directory}/{name}")
+
+        return cls(spark, read, layouts)
 
     @classmethod
-    def from_catalog(cls, spark: SparkSession, tables: Mapping[str, str] | None = None) -> Sources:
+    def from_catalog(
+        cls,
+        spark: SparkSession,
+        tables: Mapping[str, str] | None = None,
+        layouts: Layouts | None = None,
+    ) -> Sources:
         """Catalog tables; ``tables`` names those not called like their relation."""
         named = tables or {}
-        return cls(spark, lambda name: spark.table(named.get(name, name)))
+        return cls(spark, lambda name: spark.table(named.get(name, name)), layouts)
 
     def _open(self, relation: str) -> DataFrame:
-        return checked(self._read(relation), relation)
+        return checked(self._read(relation), relation, self._layouts.get(relation, ()))
 
     @cached_property
     def loan_application(self) -> DataFrame:

@@ -1,32 +1,56 @@
 """What the optimizer makes of the reports over stored tables."""
 
 import re
+from bisect import bisect_left
 
 import pytest
 from pyspark.sql import functions as F
 
 from lendlens.functions.anchors import PeriodAnchors
-from lendlens.operators import tags
+from lendlens.operators import range_sums, tags
 from lendlens.operators.range_sums import sums_before
 from lendlens.plans.reports import REPORTS, report, reports
 from lendlens.sources.sample import sample
+from lendlens.sources.schemas import Layout
 from lendlens.sources.tables import Sources
 from tests.conftest import AS_OF, TESTDATA
 
 
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
-    """The sample relations as tables, applications partitioned by day."""
+    """The sample relations as tables, applications partitioned by both dates' months."""
     directory = str(tmp_path_factory.mktemp("tables"))
     made = sample(spark, f"{TESTDATA}/sf0.001")
     apps = made.loan_application.filter("date_created >= '1999-06-01'")
-    monthly = apps.withColumn("created_day", F.trunc("created_day", "MM"))
-    monthly.write.partitionBy("created_day").parquet(f"{directory}/loan_application")
+    monthly = apps.withColumns(
+        {
+            "created_month": F.trunc(F.to_date("date_created"), "MM"),
+            "disbursed_month": F.trunc(F.to_date("disbursal_date"), "MM"),
+        }
+    ).drop("created_day")
+    months = ["created_month", "disbursed_month"]
+    monthly.repartition(2).write.partitionBy(*months).parquet(f"{directory}/loan_application")
     for name in ("loan_application_metadata", "app_user_history", "install_event"):
         getattr(made, name).drop("created_day").write.parquet(f"{directory}/{name}")
     return directory
 
 
+MONTHLY = {
+    "loan_application": [
+        Layout("created_month", "date_created", "month"),
+        Layout("disbursed_month", "disbursal_date", "month"),
+    ]
+}
+
+
+def laid_out(spark, stored):
+    return Sources.from_parquet(spark, stored, layouts=MONTHLY)
+
+
+def partition_filters(text):
+    return re.findall(r"PartitionFilters: \[([^\n]*?)\], PushedFilters", text)[0]
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -44,8 +68,8 @@ def test_no_cross_join_and_no_python(spark, stored):
 
 
 def test_creation_bound_prunes_and_reaches_the_scan(spark, stored):
-    text = plan(report(Sources.from_parquet(spark, stored), "rpt_changes_mom", AS_OF))
-    assert re.search(r"PartitionFilters: \[[^]]*created_day#\d+ >= 1999-10-17", text)
+    text = plan(report(laid_out(spark, stored), "rpt_changes_mom", AS_OF))
+    assert re.search(r"created_month#\d+ >= 1999-10-01", partition_filters(text))
     assert "GreaterThanOrEqual(date_created,1999-10-17T13:30)" in text
     assert "user_id_ref" not in text.split("ReadSchema")[1]
 
@@ -53,7 +77,7 @@ def test_creation_bound_prunes_and_reaches_the_scan(spark, stored):
 def test_zoned_timestamps_are_bounded_in_their_own_type(spark, stored, tmp_path):
     zoned = spark.read.parquet(f"{stored}/loan_application")
     zoned = zoned.withColumn("date_created", F.col("date_created").cast("timestamp"))
-    zoned.drop("created_day").write.parquet(f"{tmp_path}/loan_application")
+    zoned.write.parquet(f"{tmp_path}/loan_application")
     df = report(Sources.from_parquet(spark, str(tmp_path)), "rpt_changes_mom", AS_OF)
     assert "GreaterThanOrEqual(date_created,1999-10-17 13:30:00.0)" in plan(df)
     naive = report(Sources.from_parquet(spark, stored), "rpt_changes_mom", AS_OF)
@@ -75,17 +99,38 @@ def test_either_date_bound_reaches_the_scan(spark, stored):
     )
 
 
+@pytest.mark.parametrize(
+    "name, columns",
+    [
+        ("rpt_volume_projection", {"disbursed_month"}),
+        ("rpt_repeat_ats", {"created_month", "disbursed_month"}),
+        ("rpt_repeat_starts", {"created_month", "disbursed_month"}),
+    ],
+)
+def test_disbursal_bound_prunes(spark, stored, name, columns):
+    """Partitions go, rows of old applications paid lately stay."""
+    pruned = report(laid_out(spark, stored), name, AS_OF)
+    bounds = partition_filters(plan(pruned))
+    assert set(re.findall(r"(\w+)#\d+ >=", bounds)) == columns
+    assert pruned.collect() == report(Sources.from_parquet(spark, stored), name, AS_OF).collect()
+
+
+@pytest.mark.parametrize("name", ["rpt_changes_mom", "rpt_channel_ats", "rpt_topup_ats"])
+def test_layout_changes_no_report(spark, stored, name):
+    whole = report(Sources.from_parquet(spark, stored), name, AS_OF).collect()
+    assert report(laid_out(spark, stored), name, AS_OF).collect() == whole
+
+
 @pytest.mark.parametrize(
     "name, expected",
     [
         # One shuffle for the groups; the tag join adds one per side and one for the
-        # counts; each range join adds one.
+        # counts.
         ("rpt_changes_mom", 1),
         ("rpt_volume_projection", 1),
         ("rpt_partner_ats", 1),
         ("rpt_repeat_ats", 4),
         ("rpt_repeat_starts", 4),
-        ("rpt_channel_ats", 3),
     ],
 )
 def test_shuffles(spark, stored, name, expected):
@@ -96,6 +141,14 @@ def test_shuffles(spark, stored, name, expected):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_range_joins_read_their_inputs_once(spark, stored):
+    """The plan names parts of it twice; they run once."""
+    df = report(Sources.from_parquet(spark, stored), "rpt_channel_ats", AS_OF)
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    assert shuffles(final) <= 18
+
+
 def test_reports_together_share_scans(spark, stored):
     sources = Sources.from_parquet(spark, stored)
     alone = {name: report(sources, name, AS_OF).collect() for name in REPORTS}
@@ -141,17 +194,17 @@ def test_tag_join_splits_a_hot_application(spark, small_skew_limits):
     assert "skew=true" in plan(by_copies).split("Initial Plan")[0]
 
 
-def test_spread_sums_read_their_points_once_and_split_hot_probes(spark, small_skew_limits):
-    events = spark.range(100_000).selectExpr("id % 1000 as key", "id as tick", "1 as n")
-    probes = spark.range(200_000).selectExpr(
-        "if(id % 3 = 0, 7, id % 1000) as key",
-        "if(id % 3 = 0, 50000, id) as tick",
-        "md5(cast(id as string)) as payload",
-    )
-    df = sums_before(events, probes, "key", {"n": "bigint"}, heavy=True)
-    summed = df.agg(F.sum("n"), F.count("*"), F.max("payload"))
-    [(total, rows, _)] = summed.collect()
-    final = plan(summed).split("Initial Plan")[0]
-    assert rows == 200_000 and total > 0
-    assert "ReusedExchange" in final
-    assert "skew=true" in final
+def test_a_hot_key_is_split(spark, small_skew_limits, monkeypatch):
+    """A third of events and probes on one key, a third of those on one tick."""
+    monkeypatch.setattr(range_sums, "TASK_ROWS", 1000)
+    monkeypatch.setattr(range_sums, "SLICE", 1000)
+    events = spark.range(100_000).selectExpr("if(id % 3 = 0, 7, id % 1000) as key", "id as tick", "1 as n")
+    probes = spark.range(200_000).selectExpr("if(id % 3 = 0, 7, id % 1000) as key", "id as tick")
+    summed = sums_before(events, probes, "key", ["n"]).groupBy((F.col("key") == 7).alias("hot"))
+    found = {r.hot: (r.rows, r.total) for r in summed.agg(
+        F.count("*").alias("rows"), F.sum("n").alias("total")
+    ).collect()}
+    assert sum(rows for rows, _ in found.values()) == 200_000
+    ahead = [t for t in range(200_000) if t % 3 == 0 or t % 1000 == 7]
+    of_key = [t for t in range(100_000) if t % 3 == 0 or t % 1000 == 7]
+    assert found[True] == (len(ahead), sum(bisect_left(of_key, t) for t in ahead))

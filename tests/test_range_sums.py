@@ -1,4 +1,4 @@
-"""Both plans against pairs formed by brute force, with heavy keys and ties."""
+"""Sums against pairs formed by brute force, with large keys, split or not, and ties."""
 
 import random
 from collections import Counter
@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from lendlens.functions.anchors import PeriodAnchors
 from lendlens.operators import attribution
-from lendlens.operators.range_sums import has_heavy_key, sums_after, sums_before
+from lendlens.operators import range_sums
+from lendlens.operators.range_sums import sums_after, sums_before
+from lendlens.plans.reports import REPORTS, report
 from tests.conftest import AS_OF, Made
 
-MEASURES = {"n": "bigint", "amount": "decimal(38,2)"}
+MEASURES = ["n", "amount"]
+EVERY_KEY, NO_KEY = 0, 10**9
 MINUTE = 60_000_000
 
 
@@ -26,9 +29,15 @@ def rows(seed, size):
     return out
 
 
-@pytest.mark.parametrize("heavy", [False, True])
+@pytest.fixture(params=[EVERY_KEY, 5, NO_KEY])
+def split(request, monkeypatch):
+    """Which keys are split: all, those with a few rows, none."""
+    monkeypatch.setattr(range_sums, "TASK_ROWS", request.param)
+    monkeypatch.setattr(range_sums, "SLICE", MINUTE)
+
+
 @pytest.mark.parametrize("sums, later", [(sums_before, False), (sums_after, True)])
-def test_against_pairs(spark, sums, later, heavy):
+def test_against_pairs(spark, split, sums, later):
     events, probes = rows(1, 300), rows(2, 300)
     got = sums(
         spark.createDataFrame(events, "key string, tick bigint, i bigint").selectExpr(
@@ -37,7 +46,6 @@ def test_against_pairs(spark, sums, later, heavy):
         spark.createDataFrame(probes, "key string, tick bigint, probe bigint"),
         "key",
         MEASURES,
-        heavy,
     ).collect()
     expected = []
     for key, tick, probe in probes:
@@ -52,16 +60,6 @@ def test_against_pairs(spark, sums, later, heavy):
     assert sorted((r.key, r.tick, r.probe, r.n, float(r.amount)) for r in got) == sorted(expected)
 
 
-def test_heavy_key(spark):
-    left = spark.createDataFrame([("a", 1)] * 3 + [(None, 1)] * 9, "key string, other int")
-    right = spark.createDataFrame([("a",), ("b",)], "key string")
-    assert has_heavy_key([(left, ["key"]), (right, ["key"])], limit=3)
-    assert not has_heavy_key([(left, ["key"]), (right, ["key"])], limit=4)
-    assert has_heavy_key([(left, ["key", "other"]), (right, ["key"])], limit=11)
-    assert not has_heavy_key([(left, ["key", "other"]), (right, ["key"])], limit=12)
-    assert not has_heavy_key([(left.limit(0), ["key"])], limit=0)
-
-
 def busy(spark):
     """One user and one attribution id with most of the rows."""
     draw = random.Random(3)
@@ -89,15 +87,14 @@ PAIRS = """
       and h.date_created > i.date_created - interval 1 hour"""
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_channel_measures_against_pairs(spark, limit):
+def test_channel_measures_against_pairs(spark, split):
     made = busy(spark)
     frames = made.frames()
     apps, history, installs = (
         frames[n] for n in ("loan_application", "app_user_history", "install_event")
     )
     got = attribution.channel_measures(
-        apps, history, installs, PeriodAnchors.of(AS_OF), limit
+        apps, history, installs, PeriodAnchors.of(AS_OF)
     ).collect()
     pairs = _pairs(spark, frames)
     last = "between date'2000-02-01' and date'2000-02-15'"
@@ -126,12 +123,11 @@ def _pairs(spark, frames):
     return spark.sql(PAIRS)
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_match_counts_keep_every_row(spark, limit):
+def test_match_counts_keep_every_row(spark, split):
     made = busy(spark)
     frames = made.frames()
     got = attribution.history_matches(
-        frames["loan_application"], frames["app_user_history"], limit
+        frames["loan_application"], frames["app_user_history"]
     ).collect()
     pairs = Counter(
         app[0]
@@ -143,15 +139,47 @@ def test_match_counts_keep_every_row(spark, limit):
     assert {row.id: row.history_matches for row in got} == expected
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_attributed_rows_against_pairs(spark, limit):
+def test_attributed_rows_against_pairs(spark, split):
     frames = busy(spark).frames()
     got = attribution.attributed_rows(
         frames["loan_application"],
         frames["app_user_history"],
         frames["install_event"],
         PeriodAnchors.of(AS_OF),
-        limit,
     ).collect()
     expected = {r.id: r["count"] for r in _pairs(spark, frames).groupBy("id").count().collect()}
     assert {row.id: row.joined_rows for row in got} == expected
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(18,4)", "bigint"])
+def test_amounts_are_exact_and_of_their_type(spark, split, kind):
+    """Ten small amounts, joined to three visits and one install each."""
+    made = Made(spark)
+    for _ in range(10):
+        made.app("2000-03-10", "2000-03-11", amount="0.00" if kind == "bigint" else "1.00")
+    for _ in range(3):
+        made.visit(1, "a", "2000-03-09")
+    made.install("a", "X", "2000-03-08")
+    frames = made.frames()
+    small = F.lit(4) if kind == "bigint" else F.lit("0.004")
+    apps = frames["loan_application"].withColumn("loan_amount", small.cast(kind))
+    rows = attribution.channel_measures(
+        apps, frames["app_user_history"], frames["install_event"], PeriodAnchors.of(AS_OF)
+    )
+    plain = dict(apps.agg(F.sum("loan_amount").alias("current_disbursed_amt")).dtypes)
+    assert dict(rows.dtypes)["current_disbursed_amt"] == plain["current_disbursed_amt"]
+    (row,) = rows.collect()
+    total = 120 if kind == "bigint" else 0.12
+    assert float(row.current_disbursed_amt) == pytest.approx(total, abs=1e-12)
+    assert (row.current_starts, row.current_disbursed) == (30, 30)
+
+
+def test_a_report_starts_no_job(spark, made):
+    made.app("2000-03-10").visit(1, "a", "2000-03-09").install("a", "X", "2000-03-08")
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        for name in REPORTS:
+            report(made.sources(), name, AS_OF)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -1,11 +1,13 @@
+from datetime import UTC, datetime, timedelta, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
-from lendlens.operators.filters import lookback_150d
+from lendlens.operators import filters
 from lendlens.functions.anchors import PeriodAnchors
 from lendlens.plans.reports import report
 from lendlens.session import configure
-from lendlens.sources.schemas import SCHEMAS, SchemaError, checked
+from lendlens.sources.schemas import SCHEMAS, Layout, SchemaError, checked
 from lendlens.sources.tables import Sources
 from tests.conftest import AS_OF
 
@@ -47,11 +49,102 @@ def test_dates_for_disbursals_and_whole_amounts(made):
     assert (row.current_disbursed, row.current_disbursed_amt) == (1, 12)
 
 
-def test_day_column_only_adds_to_the_bound(made):
+DAY = "to_date(date_created)"
+
+
+@pytest.mark.parametrize(
+    "value, layout",
+    [
+        (DAY, Layout("laid_out", "date_created")),
+        (f"trunc({DAY}, 'MM')", Layout("laid_out", "date_created", "month")),
+        (f"trunc({DAY}, 'YYYY')", Layout("laid_out", "date_created", "year")),
+        (f"if(id % 2 = 0, {DAY}, null)", Layout("laid_out", "date_created")),
+        ("to_date(date_created - interval 8 hours)", Layout("laid_out", "date_created", zone="America/Los_Angeles")),
+    ],
+)
+def test_layouts_keep_every_row(made, value, layout):
+    for day in range(1, 31):
+        made.app(f"1999-10-{day:02} 03:00:00", f"2000-01-{day:02} 03:00:00")
     apps = made.app("1999-10-17 13:29:00").app("1999-10-17 13:30:00").frames()["loan_application"]
-    dated = apps.withColumn("created_day", F.to_date("date_created"))
-    kept = [lookback_150d(df, PeriodAnchors.of(AS_OF)).count() for df in (apps, dated)]
-    assert kept == [1, 1]
+    dated = checked(apps.withColumn("laid_out", F.expr(value)), "loan_application", [layout])
+    anchors = PeriodAnchors.of(AS_OF)
+    for bounded in (filters.lookback_150d, filters.lookback_60d, filters.either_date_60d):
+        assert bounded(dated, anchors).count() == bounded(apps, anchors).count()
+    assert filters.lookback_150d(dated, anchors).count() == 14
+
+
+def test_undeclared_columns_bound_nothing(made):
+    apps = made.app("2000-03-01").frames()["loan_application"]
+    wrong = apps.withColumn("created_day", F.lit("1990-01-01").cast("date"))
+    assert checked(wrong, "loan_application").columns == list(SCHEMAS["loan_application"])
+    assert filters.lookback_150d(wrong, PeriodAnchors.of(AS_OF)).count() == 1
+
+
+@pytest.mark.parametrize(
+    "value, layout",
+    [
+        ("'2000-03'", Layout("laid_out", "date_created")),
+        ("1", Layout("laid_out", "date_created")),
+        (DAY, Layout("missing", "date_created")),
+        (DAY, Layout("laid_out", "created")),
+        (DAY, Layout("laid_out", "date_created", "week")),
+    ],
+)
+def test_wrong_layouts_are_named(made, value, layout):
+    apps = made.app("2000-03-01").frames()["loan_application"].withColumn("laid_out", F.expr(value))
+    with pytest.raises(SchemaError, match=f"loan_application.{layout.column}"):
+        checked(apps, "loan_application", [layout])
+
+
+def test_amounts_of_many_places_are_named(made):
+    apps = made.app("2000-03-01").frames()["loan_application"]
+    apps = apps.withColumn("loan_amount", F.lit(1).cast("decimal(20,8)"))
+    with pytest.raises(SchemaError, match="more than 6 decimal places"):
+        checked(apps, "loan_application")
+
+
+def test_datasets_of_other_names_and_paths(spark, made, tmp_path):
+    frames = made.app("2000-03-10").visit(1, "a", "2000-03-09").install("a", "X", "2000-03-08").frames()
+    here, there = tmp_path / "here", tmp_path / "there" / "appsflyer_install_event"
+    for name, df in frames.items():
+        path = there if name == "install_event" else here / f"the_{name}"
+        df.write.parquet(str(path))
+    names = {name: f"the_{name}" for name in frames} | {"install_event": str(there)}
+    sources = Sources.from_parquet(spark, str(here), names)
+    assert report(sources, "rpt_channel_starts", AS_OF).first().current_starts == 1
+
+
+@pytest.mark.parametrize(
+    "as_of",
+    [
+        datetime(2000, 3, 15, 2, 0, tzinfo=timezone(timedelta(hours=5, minutes=30))),
+        "2000-03-15T02:00:00+05:30",
+        "2000-03-14T20:30:00Z",
+        datetime(2000, 3, 14, 20, 30),
+        "2000-03-14 20:30:00",
+    ],
+)
+def test_as_of_is_an_instant(spark, as_of):
+    now = spark.range(1).select(PeriodAnchors.of(as_of).now).first()[0]
+    assert now == datetime(2000, 3, 14, 20, 30)
+
+
+def test_the_clock_is_read_once(spark):
+    anchors = PeriodAnchors.of()
+    reads = [spark.range(1).select(anchors.now).first()[0] for _ in range(2)]
+    assert reads[0] == reads[1]
+    clock = datetime.now(UTC).replace(tzinfo=None)
+    assert timedelta(0) <= clock - reads[0] < timedelta(minutes=5)
+
+
+@pytest.mark.parametrize("days", [-1, 0, 1])
+def test_today_is_the_clocks_day(made, days):
+    """Rows on either side of today."""
+    today = datetime.now(UTC).replace(tzinfo=None, hour=0, minute=0, second=0, microsecond=0)
+    made.app(str(today + timedelta(days=days)))
+    anchors = PeriodAnchors.of()
+    apps = made.frames()["loan_application"]
+    assert apps.filter(F.to_date("date_created") == anchors.today).count() == (days == 0)
 
 
 def test_relations_are_opened_when_used(spark, made):
