@@ -1,0 +1,108 @@
+"""Fixed values, orders and types of the reports, stated without the library's constants."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lendlens.functions import classify
+from lendlens.functions.anchors import PeriodAnchors
+from lendlens.plans import families
+from lendlens.plans.reports import REPORTS, report
+from lendlens.sources.sample import sample
+from lendlens.sources.tables import Sources
+from tests.conftest import AS_OF, TESTDATA
+
+PARTNERS = {
+    "BlueChips": "supermoney airtel .pbpa. .pb. .pb.stpl. .pbpq. tatadigital",
+    "Small - IPOs": (
+        "myfinflow fintifi carepal finlabs kasthi .fb. fbpa finshellpay sparrow advisor"
+    ),
+    "Big - IPOs": "phonepe abcd moneycontrol",
+}
+TAGS = {
+    "LowNGrow": "PREMIUMLOWNGROWREPEAT REGULARLOWNGROWREPEAT LOW_AND_GROW_PC LOW_AND_GROW",
+    "Starter": "STARTER_REPEAT STARTER_RELAXED_BUREAU",
+}
+KEYS = {
+    "rpt_changes_mom": ["programme"],
+    "rpt_volume_projection": ["programme"],
+    "rpt_partner_ats": ["programme", "partner_bucket"],
+    "rpt_platform_ats": ["programme", "platform"],
+    "rpt_channel_ats": ["programme", "campaign_type"],
+    "rpt_topup_ats": ["programme", "ticket_size"],
+    "rpt_repeat_ats": ["repeat_bucket"],
+    "rpt_repeat_starts": ["repeat_bucket"],
+}
+FAMILIES = [
+    families.month_over_month,
+    families.partners,
+    families.platforms,
+    families.ticket_sizes,
+    families.channels,
+    families.repeat_customers,
+    families.volume_projection,
+]
+
+
+def test_every_partner_and_tag(spark):
+    rows = [(f"com.x{part}y", group) for group, parts in PARTNERS.items() for part in parts.split()]
+    rows.append(("com.other.app", "PennyStocks"))
+    apps = spark.createDataFrame(rows, "app_name string, expected string")
+    found = apps.select("expected", classify.partner_bucket().alias("found")).collect()
+    assert all(row.found == row.expected for row in found)
+    rows = [(case(tag), bucket) for bucket, tags in TAGS.items() for tag in tags.split() for case in (str.lower, str.upper)]
+    marked = spark.createDataFrame([*rows, ("OTHER", None)], "tag_name string, expected string")
+    found = marked.select("expected", classify.tag_bucket().alias("found")).collect()
+    assert all(row.found == row.expected for row in found)
+
+
+@pytest.mark.parametrize("name", sorted(KEYS))
+def test_order(spark, name):
+    """Ascending by every key, NULL first."""
+    rows = report(sample(spark, f"{TESTDATA}/sf0.01"), name, AS_OF).collect()
+    keys = [tuple((row[key] is not None, row[key] or "") for key in KEYS[name]) for row in rows]
+    assert keys == sorted(keys) and len(keys) > 1
+
+
+def test_result_types(spark):
+    """Names and counts as such; amounts as sums of the stored type."""
+    sources = sample(spark, f"{TESTDATA}/sf0.001")
+    for name in REPORTS:
+        for column, kind in report(sources, name, AS_OF).dtypes:
+            if column in ("programme", "partner_bucket", "platform", "campaign_type", "ticket_size", "repeat_bucket"):
+                assert kind == "string", (name, column)
+            elif column.endswith("disbursed_amt"):
+                # Repeat reports multiply an amount by its tags before they sum.
+                wide = name.startswith("rpt_repeat")
+                assert kind == ("decimal(38,2)" if wide else "decimal(28,2)"), (name, column)
+            elif column.endswith(("starts", "disbursed")) and not column.startswith("change"):
+                assert kind == "bigint", (name, column)
+            else:
+                assert kind == "double" or kind.startswith("decimal"), (name, column, kind)
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint", "decimal(18,4)"])
+def test_amounts_of_any_number(spark, kind):
+    """Every family sums what is stored, in the type of its sum."""
+    plain = sample(spark, f"{TESTDATA}/sf0.001")
+
+    def read(relation):
+        df = getattr(plain, relation)
+        if relation == "loan_application":
+            whole = F.floor("loan_amount") if kind == "bigint" else F.col("loan_amount")
+            df = df.withColumn("loan_amount", whole.cast(kind))
+        return df
+
+    sources = Sources(spark, read)
+    anchors = PeriodAnchors.of(AS_OF)
+    summed = dict(sources.loan_application.agg(F.sum("loan_amount").alias("s")).dtypes)["s"]
+    for family in FAMILIES:
+        df = family(sources, anchors)
+        amounts = [c for c in df.columns if c.endswith("disbursed_amt")]
+        other = {dict(df.dtypes)[c] for c in amounts}
+        assert other <= {summed} or family is families.repeat_customers, (family, other)
+        rows, base = df.collect(), family(plain, anchors).collect()
+        assert len(rows) == len(base)
+        if kind != "bigint":
+            for column in amounts:
+                totals = [sum(float(r[column] or 0) for r in of) for of in (rows, base)]
+                assert totals[0] == pytest.approx(totals[1])
