@@ -20,7 +20,9 @@ per row and item. A text shorter than an item is one window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlens.llm.scratch import written
@@ -32,6 +34,8 @@ BLOCKS, BLOCK_BITS = 8, 8
 #: Longest window, in words; a fingerprint's counters have room for four times as many.
 PIECE = 2000
 HEAVIEST = 4
+#: Items' shingles that are broadcast at a time.
+PART = 2_000_000
 LANES, LANE_BITS = 16, 16
 LANE_MASK = 0x0001000100010001
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -92,7 +96,11 @@ class Items:
         )
         self.weights = written(weights, "weights")
         self.counted = written(counted.join(self.weights, "shingle"), "counted")
-        self.sizes = written(self.counted.select("shingle", "size").distinct(), "sizes")
+        # Looked up in parts of a bounded size; each part is a pass over the texts.
+        parts = max(1, -(-self.counted.count() // PART))
+        part = F.pmod(F.xxhash64("shingle"), F.lit(parts)).alias("part")
+        sizes = written(self.counted.select("shingle", "size", part).distinct(), "sizes")
+        self.parts = [sizes.filter(F.col("part") == i).drop("part") for i in range(parts)]
         self.prints = written(
             fingerprints(rows.withColumnRenamed("piece", "content"), self.weights)
             .withColumnsRenamed({"content": "piece", "print": "item_print"}),
@@ -185,30 +193,47 @@ def verified(
     )
 
 
-def _windows(docs: DataFrame, items: Items) -> DataFrame:
-    """(text_hash, size, start, content, shingles): every window that holds an item's shingle."""
-    keyed = docs.select("text_key", "text_hash", "text")
-    # The outer form adds no filter, which would cut every text a second time.
-    hits = (
-        shingled(keyed)
-        .select("text_key", "text_hash", F.posexplode_outer("shingles").alias("pos", "shingle"))
-        .join(items.sizes, "shingle")
-        .groupBy("text_hash", "size")
-        .agg(F.min("text_key").alias("text_key"), F.collect_set("pos").alias("positions"))
-    )
-    # One row of each text with a hit is read again.
-    again = shingled(keyed.join(written(hits, "hits"), ["text_key", "text_hash"]))
+def _hits(texts: DataFrame, items: Items) -> DataFrame:
+    """(id, text_hash, size, pos, count, around): every item's shingle in every text.
+
+    `around` has the text's shingles that a window of the size with this one may hold.
+    """
     reach = F.col("size") - WIDTH
-    last = F.size("shingles") - 1 - reach
+    first = F.greatest(F.col("pos") - reach, F.lit(0))
+    # The outer form adds no filter, which would cut every text a second time.
+    rows = texts.select("id", "text_hash", "shingles", F.posexplode_outer("shingles").alias("pos", "shingle"))
+    found = []
+    for part in items.parts:
+        found.append(
+            rows.join(F.broadcast(part), "shingle").select(
+                "id",
+                "text_hash",
+                "size",
+                "pos",
+                F.size("shingles").alias("count"),
+                F.slice("shingles", first + 1, F.col("pos") - first + reach + 1).alias("around"),
+            )
+        )
+    return reduce(DataFrame.unionAll, found)
 
-    def starts(pos: Column) -> Column:
-        first = F.greatest(pos - reach, F.lit(0))
-        return F.sequence(first, F.greatest(first, F.least(pos, last)))
 
-    every = F.array_distinct(F.flatten(F.transform("positions", starts)))
+def _windows(docs: DataFrame, items: Items) -> DataFrame:
+    """(text_hash, size, start, content, shingles): every window that holds an item's shingle.
+
+    Each window comes from the first such shingle in it.
+    """
+    keyed = docs.withColumn("id", F.monotonically_increasing_id())
+    hits = _hits(shingled(keyed.select("id", "text_hash", "text")), items)
+    before = F.lag("pos", 1, -1).over(Window.partitionBy("id", "size").orderBy("pos"))
+    reach = F.col("size") - WIDTH
+    first = F.greatest(F.col("pos") - reach, F.lit(0))
+    last = F.least(F.col("pos"), F.greatest(F.col("count") - 1 - reach, F.lit(0)))
+    fresh = F.greatest(first, F.col("before") + 1)
+    starts = F.when(fresh <= last, F.sequence(fresh, F.greatest(fresh, last)))
     return (
-        again.withColumn("start", F.explode_outer(every))
-        .withColumn("shingles", F.slice("shingles", F.col("start") + 1, reach + 1))
+        hits.withColumn("before", before)
+        .withColumn("start", F.explode(starts))
+        .withColumn("shingles", F.slice("around", F.col("start") - first + 1, reach + 1))
         .withColumn("content", F.xxhash64("size", "shingles"))
         .select("text_hash", "size", "start", "content", "shingles")
     )
@@ -217,7 +242,7 @@ def _windows(docs: DataFrame, items: Items) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(text_hash, item_id, similarity, start, size): the best window of each text and item.
 
-    `docs` needs columns text_key, text_hash and text, see `keyed`.
+    `docs` needs columns text_hash and text, see `keyed`.
     """
     items = Items(benchmark)
     windows = written(_windows(docs, items), "windows")
@@ -247,14 +272,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, text, and what finds the row of a text again."""
-    hashed = F.xxhash64(text)
-    return docs.select(
-        "doc_id",
-        F.coalesce(F.col("doc_id").cast("long"), hashed).alias("text_key"),
-        hashed.alias("text_hash"),
-        F.col(text).alias("text"),
-    )
+    """doc_id, text and its hash."""
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

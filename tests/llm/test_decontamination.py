@@ -76,7 +76,8 @@ def test_changed_passages(spark):
         half = words[: len(words) // 2]
         for kind, passage in enumerate((whole, near, half)):
             docs.append((3 * i + kind, "\n".join([*before, *passage, *after])))
-            if kind < 2:
+            # A changed word takes five of the item's shingles.
+            if kind == 0 or kind == 1 and len(words) - 4 - 5 >= 0.8 * (len(words) - 4):
                 leaked.add((3 * i + kind, i))
     docs.append((900, items[0][1]))
     leaked.add((900, 0))
@@ -86,7 +87,7 @@ def test_changed_passages(spark):
     ).collect()
     got = {(row["doc_id"], row["item_id"]) for row in found}
     exact = {(d, i) for d, i in leaked if d % 3 == 0 or d == 900}
-    assert exact <= got <= leaked and len(got) >= 0.9 * len(leaked)
+    assert exact <= got <= leaked and len(got) >= 0.95 * len(leaked)
 
 
 def test_repeated_shingles_and_long_items(spark):
