@@ -273,8 +273,12 @@ def extract(page: str | None) -> str:
     return text_of(main_node(tree(page))[0])
 
 
+def _extract_all(pages: pd.Series) -> pd.Series:
+    return pages.map(extract).astype(object)
+
+
 def main_text(page: Column) -> Column:
-    return F.pandas_udf(lambda pages: pages.map(extract).astype(object), "string")(page)
+    return F.pandas_udf(_extract_all, "string")(page)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

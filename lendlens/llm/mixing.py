@@ -151,11 +151,12 @@ def mixed(
 
     full = F.floor("passes").cast("int")
     once_more = F.col("reached") & (F.col("h") <= F.coalesce("cutoff", F.col("h")))
+    once_more = F.coalesce(once_more & (F.col("n_words") > 0), F.lit(False)).cast("int")
     used = (
         rows.join(plan, "of_source")
         .select("_row", "n_words", "weight", "h", block, "of_source", full.alias("full"), "passes")
         .join(ends, ["of_source", "block"], "left")
-        .withColumn("uses", F.col("full") + F.coalesce(once_more & (F.col("n_words") > 0), F.lit(False)).cast("int"))
+        .withColumn("uses", F.col("full") + once_more)
         .filter(F.col("uses") > 0)
         .withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
     )
