@@ -5,7 +5,9 @@ band of their MinHash signature meet in a bucket. A bucket's pairs are not liste
 are compared with one hub, links found are closed to components, and only buckets that still
 hold several components go on, with other hubs while those are many and at last with all pairs
 across components. So no link between two components of a bucket is left out, and within a
-component none is needed.
+component none is needed. Of pairs across components, those are left out whose odd sketches
+(the parities of the shingles on each of 1024 bits) already differ in more bits than similar
+sets could; that bound is exact.
 
 A pair is compared in batches of 64 signature bits. After each batch it is dropped if the
 posterior chance that its similarity reaches the threshold, under an even prior, is below
@@ -38,16 +40,18 @@ from lendlens.llm.scratch import written
 PERCENT = 85
 BANDS, ROWS = 25, 5
 BATCH, BATCHES = 64, 3
+#: 64-bit words that tell which shingles two texts do not share.
+ODD_WORDS = 16
 #: Posterior chance of a link below which a pair is dropped.
 MISS = 1e-7
 #: While all pairs across components would take more than so many comparisons per row, other
-#: hubs come first, in so many rounds at most.
-SPREAD = 4
+#: hubs come first, in so many rounds at most. Both only order the work.
+SPREAD = 1000
 HUB_ROUNDS = 3
 
 SIGNED = (
     "doc_id long, text_key long, text_hash long, n_shingles long, digest binary, leader long, "
-    "bands array<long>, s0 long, s1 long, s2 long"
+    "bands array<long>, odd array<long>, s0 long, s1 long, s2 long"
 )
 
 
@@ -57,13 +61,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = np.arange(BANDS, dtype=np.uint64)
     bits = np.uint64(1) << np.arange(BATCH, dtype=np.uint64)
     for batch in batches:
-        counts, digests, leaders, bands, signs = [], [], [], [], [[], [], []]
+        counts, digests, leaders, bands, odds, signs = [], [], [], [], [], [[], [], []]
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             found = shingles.shingle_set(text)
             counts.append(len(found))
             if not len(found):
                 digests.append(None)
-                for column in (leaders, bands, *signs):
+                for column in (leaders, bands, odds, *signs):
                     column.append(None)
                 continue
             least = shingles.minima(found, factors, offsets)
@@ -72,8 +76,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = least[: BANDS * ROWS].reshape(BANDS, ROWS) * band_factors[:, 0]
             keys = shingles.mixed(rows.sum(axis=1, dtype=np.uint64) + names)
             bands.append(keys.view(np.int64))
-            odd = (shingles.mixed(least) & np.uint64(1)).reshape(BATCHES, BATCH)
-            for column, value in zip(signs, (odd * bits).sum(axis=1, dtype=np.uint64), strict=True):
+            odds.append(shingles.odd_bits(found, ODD_WORDS))
+            last = (shingles.mixed(least) & np.uint64(1)).reshape(BATCHES, BATCH)
+            for column, value in zip(signs, (last * bits).sum(axis=1, dtype=np.uint64), strict=True):
                 column.append(int(value.view(np.int64)))
         yield pa.RecordBatch.from_arrays(
             [
@@ -84,6 +89,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(digests, pa.binary()),
                 pa.array(leaders, pa.int64()),
                 pa.array(bands, pa.list_(pa.int64())),
+                pa.array(odds, pa.list_(pa.int64())),
                 *(pa.array(column, pa.int64()) for column in signs),
             ],
             names=[field.split()[0] for field in SIGNED.split(", ")],
@@ -138,8 +144,9 @@ def _linked(percent: int):
 MEMBER = ["digest", "n", "s0", "s1", "s2"]
 
 
-def _as_hub(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.select(*keys, *(F.col(c).alias(f"hub_{c}") for c in MEMBER))
+def _as_hub(rows: DataFrame, *more: str) -> DataFrame:
+    """The bucket, and the rest under names of a hub."""
+    return rows.select("bucket", *(F.col(c).alias(f"hub_{c}") for c in (*MEMBER, *more)))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -158,7 +165,8 @@ class _Search:
 
     def __init__(self, docs: DataFrame, signs: DataFrame, percent: int):
         self.percent = percent
-        first = [F.first(c).alias(c) for c in ("n_shingles", "leader", "bands", "s0", "s1", "s2")]
+        alike = ("n_shingles", "leader", "bands", "odd", "s0", "s1", "s2")
+        first = [F.first(c).alias(c) for c in alike]
         classes = (
             signs.filter(F.col("digest").isNotNull())
             .groupBy("digest")
@@ -172,7 +180,9 @@ class _Search:
         self.classes = written(classes, "classes")
         self.banded = self._banded()
         wanted = written(self.banded.select("digest", "where.*").distinct(), "wanted")
-        texts = docs.join(wanted, ["text_key", "text_hash"]).select("digest", "text")
+        # Both sides grow with the corpus: one plan at every size.
+        texts = docs.join(wanted.hint("merge"), ["text_key", "text_hash"])
+        texts = texts.select("digest", "text")
         self.texts = written(texts, "texts")
 
     def _banded(self) -> DataFrame:
@@ -186,7 +196,7 @@ class _Search:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (digest, hub_digest) whose full sets are similar enough."""
-        pairs = written(pairs.select("digest", "hub_digest").distinct(), "pairs")
+        pairs = written(pairs.select("digest", "hub_digest").distinct(), "pairs", few=True)
         hubs = self.texts.select(F.col("digest").alias("hub_digest"), F.col("text").alias("hub_text"))
         both = pairs.join(self.texts, "digest").join(hubs, "hub_digest")
         links = both.filter(_linked(self.percent)("text", "hub_text"))
@@ -194,13 +204,13 @@ class _Search:
 
     def first_links(self) -> DataFrame:
         """Links of every member with the least class of its bucket."""
-        hubs = _as_hub(self.banded.filter(F.col("leader") == F.col("first")), "bucket")
+        hubs = _as_hub(self.banded.filter(F.col("leader") == F.col("first")))
         members = self.banded.filter(F.col("leader") != F.col("first"))
-        pairs = members.join(written(hubs, "hubs"), "bucket").filter(plausible(self.percent))
+        pairs = members.join(written(hubs, "hubs", few=True), "bucket").filter(plausible(self.percent))
         return self._verified(pairs)
 
     def open_rows(self, roots: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components, with theirs and what is largest."""
+        """Members of buckets that hold several components, with theirs and the largest."""
         named = roots.select(F.col("node").alias("digest"), "root")
         rows = self.banded.join(named, "digest", "left")
         rows = rows.withColumn("root", F.coalesce("root", "digest"))
@@ -215,29 +225,40 @@ class _Search:
             .filter(F.col("roots") > 1)
             .select("bucket", "members", F.col("most.root").alias("most"))
         )
-        return written(rows.join(written(buckets, "open"), "bucket"), "open_rows")
+        rows = written(rows.join(written(buckets, "open", few=True), "bucket"), "open_rows")
+        odd = self.classes.select("digest", "odd").hint("merge")
+        return written(rows.join(odd, "digest"), "open_rows")
+
+    def _reachable(self) -> Column:
+        """Whether two classes of different components can be similar enough.
+
+        The odd bits that differ are a lower bound of the shingles that only one has.
+        """
+        words = [
+            F.bit_count(
+                F.get(F.col("odd"), F.lit(i)).bitwiseXOR(F.get(F.col("hub_odd"), F.lit(i)))
+            )
+            for i in range(ODD_WORDS)
+        ]
+        apart, both = sum(words, F.lit(0)), F.col("n") + F.col("hub_n")
+        near = apart * (100 + self.percent) <= both * (100 - self.percent)
+        return (F.col("root") != F.col("hub_root")) & plausible(self.percent) & near
 
     def hub_links(self, rows: DataFrame, seed: int) -> DataFrame:
         """Links across components with one hub per bucket, another one for each seed."""
         rank = F.xxhash64(F.lit(seed), "bucket", "leader")
         least = rows.groupBy("bucket").agg(F.min(rank).alias("least"))
-        ranked = rows.withColumn("rank", rank).join(written(least, "least"), "bucket")
+        ranked = rows.withColumn("rank", rank).join(written(least, "least", few=True), "bucket")
         hubs = ranked.filter(F.col("rank") == F.col("least"))
-        hubs = _as_hub(hubs, "bucket", F.col("root").alias("hub_root"))
-        pairs = rows.join(written(hubs, "hubs"), "bucket").filter(
-            (F.col("root") != F.col("hub_root")) & plausible(self.percent)
-        )
-        return self._verified(pairs)
+        hubs = written(_as_hub(hubs, "root", "odd"), "hubs", few=True)
+        return self._verified(rows.join(hubs, "bucket").filter(self._reachable()))
 
     def all_links(self, rows: DataFrame) -> DataFrame:
         """Links across components, those of a bucket's largest one with all others."""
         others = rows.filter(F.col("root") != F.col("most"))
-        hubs = _as_hub(others, "bucket", F.col("root").alias("hub_root"))
+        hubs = written(_as_hub(others, "root", "odd"), "hubs", few=True)
         once = (F.col("root") == F.col("most")) | (F.col("digest") < F.col("hub_digest"))
-        pairs = rows.join(written(hubs, "hubs"), "bucket").filter(
-            (F.col("root") != F.col("hub_root")) & once & plausible(self.percent)
-        )
-        return self._verified(pairs)
+        return self._verified(rows.join(hubs, "bucket").filter(once & self._reachable()))
 
     def roots(self) -> DataFrame:
         """(node, root) of every class that is linked with another one."""
@@ -285,4 +306,5 @@ def kept_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     judged = deduplicated(docs, percent)
     removed = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_removed")).distinct()
     removed = written(removed, "removed")
-    return docs.join(removed, docs["doc_id"].cast("long") == removed["_removed"], "left_anti")
+    same = docs["doc_id"].cast("long") == removed["_removed"]
+    return docs.join(removed.hint("merge"), same, "left_anti")

@@ -16,8 +16,20 @@ def folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a stored table: its lineage ends here and a lost executor costs no recomputation."""
-    path = f"{folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Of tables that are small next to what was shuffled, this share of the usual partitions.
+FEW = 8
+
+
+def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """`df` as a stored table: its lineage ends here and a lost executor costs no recomputation.
+
+    `few` suits tables that come out of a shuffle with little in each partition.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}"
+    if few:
+        usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.coalesce(max(1, usual // FEW)).write.parquet(path)
+    else:
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

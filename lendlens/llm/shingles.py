@@ -76,6 +76,16 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def odd_bits(shingles: np.ndarray, words: int) -> np.ndarray:
+    """64 bits per word: of the shingles that fall on a bit, whether their number is odd.
+
+    Bits of two sets that differ each stand for a shingle that only one of them has.
+    """
+    at = (shingles >> np.uint64(7)) % np.uint64(64 * words)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and offsets of `count` hash functions, the same everywhere."""
     seeds = mixed(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(_BASE))

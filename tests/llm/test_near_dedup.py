@@ -95,7 +95,7 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("spread", [4, 0])
+@pytest.mark.parametrize("spread", [1000, 0])
 def test_chain_and_crowd(spark, monkeypatch, spread):
     monkeypatch.setattr(near_dedup, "SPREAD", spread)
     texts = near_texts()
@@ -107,7 +107,9 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (7, 7), (300, 100)]
     made = components(spark.createDataFrame(links, "a long, b long")).collect()
     found = {row["node"]: row["root"] for row in made}
-    assert found == {i: 0 for i in range(1, 61)} | {200: 100, 300: 100}
+    assert set(found) == {*range(61), 100, 200, 300}
+    assert len({found[i] for i in range(61)}) == 1 == len({found[i] for i in (100, 200, 300)})
+    assert len(set(found.values())) == 2
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
