@@ -1,12 +1,16 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements. Menus, footers, forms, scripts, adverts, comments and the
-like, known by tag, role or class, are taken out; for every other node the density is its
-characters per tag, lowered by the share of link characters and link tags. A node's sum is the
+A page becomes a tree of elements. Menus, footers, scripts and the like, known by tag or role,
+are taken out. Forms and names of adverts, comments and the like are only hints, as layouts use
+the same words for wrappers: a hinted subtree is taken out if it and those of the same name hold
+little of the text around them, if it is sparse, or if an article beside it is the main text. It
+stays if it holds the page's only article or main element. For every other node the density is
+its characters per tag, lowered by the share of link characters and link tags. A node's sum is the
 sum of its children's densities. The node of the largest sum gives the threshold: the least
 density on the path from the body to it. The article or main element around that node is the
 main text; without one, subtrees from the body down that reach the threshold hold content, and
-the smallest subtree around them is the main text. Its own blocks of links are left out.
+the smallest subtree around them is the main text. Blocks of links are left out, but not those
+of an article or main element.
 
 Defined results: NULL, empty and textless pages have an empty text. Tags that are never closed
 end with their parent; markup that is cut off ends with the page. One row per page, equal pages
@@ -32,9 +36,7 @@ TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(
-    r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I
-)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -56,10 +58,10 @@ ENDED_BY = {
 #: What an open element of ENDED_BY is not looked for beyond.
 HELD_BY = frozenset("ul ol dl table select body article main section div".split())
 BESIDE_TEXT = frozenset(
-    "nav footer aside form button select option dialog svg canvas object head menu".split()
+    "nav footer aside button select option dialog svg canvas object head menu".split()
 )
 BESIDE_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form dialog alert menu menubar "
+    "navigation banner contentinfo complementary search dialog alert menu menubar "
     "advertisement".split()
 )
 BESIDE_NAMES = frozenset(
@@ -70,43 +72,60 @@ BESIDE_NAMES = frozenset(
     "recommendations newsletter subscribe subscription popup modal overlay login signup search "
     "toolbar widget widgets pagination pager copyright skip".split()
 )
+#: Names like has-sidebar tell what is beside an element, not what it is.
+BESIDE_IT = re.compile(r"(?:has|have|with|without|no|not|hide|show)[_-]")
+#: A name is believed where its subtrees hold less than this share of the text around them.
+SMALL = 1 / 3
+#: An article outside hinted subtrees is the main text if it is this long beside one of them, by
+#: whether that one holds an article or main element too.
+BESIDE_ARTICLE = {False: 0.1, True: 0.5}
 CONTENT = frozenset(["article", "main"])
 BODY = "body"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "beside", "chars", "links", "tags", "link_tags", "density")
+    __slots__ = (
+        "tag", "parent", "parts", "beside", "hints", "chars", "links", "tags", "link_tags", "density"
+    )
 
-    def __init__(self, tag: str, parent: Node | None, beside: bool):
-        self.tag, self.parent, self.beside = tag, parent, beside
+    def __init__(self, tag: str, parent: Node | None, beside: bool, hints: frozenset[str]):
+        self.tag, self.parent, self.beside, self.hints = tag, parent, beside, hints
         self.parts: list[Node | str] = []
 
     def children(self) -> list[Node]:
         return [p for p in self.parts if not isinstance(p, str) and not p.beside]
 
 
-def _is_beside(tag: str, rest: str, inside_content: bool) -> bool:
+NO_HINTS: frozenset[str] = frozenset()
+
+
+def _is_beside(tag: str, rest: str, inside_content: bool) -> tuple[bool, frozenset[str]]:
+    """Whether an element is beside the text for certain, and the names that hint at it."""
     if tag in BESIDE_TEXT or tag == "header" and not inside_content:
-        return True
+        return True, NO_HINTS
+    hints = {tag} if tag == "form" else set()
     for name, value in ATTRIBUTE.findall(rest) if rest else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true":
-            return True
+            return True, NO_HINTS
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return True, NO_HINTS
         if name == "role" and value in BESIDE_ROLES:
-            return True
+            return True, NO_HINTS
+        if name == "role" and value == "form":
+            hints.add(value)
         if name in ("class", "id") and tag not in (BODY, "html"):
-            if not BESIDE_NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
-                return True
+            for word in value.split():
+                if not BESIDE_IT.match(word):
+                    hints |= BESIDE_NAMES.intersection(re.split(r"[_-]+", word))
             if value in ("header", "site-header", "page-header") and not inside_content:
-                return True
-    return False
+                hints.add("header")
+    return False, frozenset(hints) if hints else NO_HINTS
 
 
 def tree(page: str) -> Node:
     """The page's elements and texts; forgiving of tags that are not closed."""
-    root = node = Node(BODY, None, False)
+    root = node = Node(BODY, None, False, NO_HINTS)
     depth_of_content, at = 0, 0
 
     def up_to(target: Node) -> None:
@@ -149,7 +168,7 @@ def tree(page: str) -> Node:
             found = open_one(ENDED_BY[tag], HELD_BY)
             if found is not None:
                 up_to(found.parent)
-        made = Node(tag, node, _is_beside(tag, token["rest"], depth_of_content > 0))
+        made = Node(tag, node, *_is_beside(tag, token["rest"], depth_of_content > 0))
         node.parts.append(made)
         if tag not in VOID and not token["rest"].endswith("/"):
             node = made
@@ -239,6 +258,65 @@ def main_node(root: Node) -> tuple[Node, float]:
     return common[-1], threshold
 
 
+def _take_out_hinted(root: Node) -> None:
+    """Marks the hinted subtrees that are beside the text."""
+    nodes = _preorder(root)
+    if not any(node.hints for node in nodes):
+        return
+    measure(root)
+    outside = _outside(nodes)
+    if not outside:
+        # Of all elements the longest article is the last to be beside the text.
+        found = [node for node in nodes if node.tag in CONTENT]
+        for node in _path(max(found, key=lambda node: node.chars)) if found else ():
+            node.hints = NO_HINTS
+        outside = _outside(nodes)
+    scope, over, holds = {}, {}, set()
+    shares: dict[tuple[Node, str], int] = {}
+    for node in nodes:
+        # The article or main element around a node, and the names it is under there.
+        up = node.parent
+        scope[node] = root if up is None else up if up.tag in CONTENT else scope[up]
+        over[node] = NO_HINTS if up is None or up.tag in CONTENT else over[up] | up.hints
+        for name in node.hints - over[node]:
+            shares[scope[node], name] = shares.get((scope[node], name), 0) + node.chars
+    for node in reversed(nodes):
+        if node.tag in CONTENT and node.chars:
+            holds.add(node)
+        if node in holds:
+            holds.add(node.parent)
+    unsure = []
+    for node in nodes:
+        if not node.hints:
+            continue
+        around, article = scope[node], node in holds
+        node.beside = any(
+            shares.get((around, name), around.chars) < SMALL * around.chars for name in node.hints
+        )
+        if around is root and outside:
+            enough = outside >= BESIDE_ARTICLE[article] * node.chars
+            node.beside = enough if article else enough or node.beside
+        if not node.beside and not article:
+            unsure.append(node)
+    if unsure:
+        _, threshold = main_node(root)
+        for node in unsure:
+            node.beside = node.density < threshold
+
+
+def _outside(nodes: list[Node]) -> int:
+    """Characters of the longest article or main element, without hinted subtrees."""
+    free, under = dict.fromkeys(nodes, 0), set()
+    for node in reversed(nodes):
+        free[node] += sum(len(" ".join(p.split())) for p in node.parts if isinstance(p, str))
+        if node.parent is not None and not node.hints:
+            free[node.parent] += free[node]
+    for node in nodes:
+        if node.hints or node.parent in under:
+            under.add(node)
+    return max((free[n] for n in nodes if n.tag in CONTENT and n not in under), default=0)
+
+
 def _link_block(node: Node) -> bool:
     """A block that is mostly links, of more than one link."""
     return node.tag not in INLINE and node.link_tags > 1 and 2 * node.links > node.chars
@@ -247,6 +325,7 @@ def _link_block(node: Node) -> bool:
 def text_of(root: Node) -> str:
     """The blocks' texts in page order, joined by one space."""
     pieces, stack = [], [iter([root])]
+    whole = root.tag in CONTENT
     ends: list[bool] = [False]
     while stack:
         part = next(stack[-1], None)
@@ -256,7 +335,7 @@ def text_of(root: Node) -> str:
                 pieces.append(" ")
         elif isinstance(part, str):
             pieces.append(html.unescape(part))
-        elif not part.beside and (part is root or not _link_block(part)):
+        elif not part.beside and (whole or part is root or not _link_block(part)):
             block = part.tag not in INLINE
             if block:
                 pieces.append(" ")
@@ -270,7 +349,9 @@ def text_of(root: Node) -> str:
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    return text_of(main_node(tree(page))[0])
+    root = tree(page)
+    _take_out_hinted(root)
+    return text_of(main_node(root)[0])
 
 
 def _extract_all(pages: pd.Series) -> pd.Series:

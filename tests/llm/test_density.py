@@ -74,3 +74,36 @@ def test_edges(spark):
     made = sorted((row["page_id"], row["n_chars"]) for row in density.extracted(pages).collect())
     assert made == [(1, 0), (1, 0), (2, 999_999)]
     assert density.extracted(pages.limit(0)).count() == 0
+
+
+OWN = " ".join(LONG.split())
+TEXT = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>"
+WIDGET = "<div class='elementor-widget elementor-widget-text-editor'>{}</div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='layout has-sidebar'><article>{TEXT}</article><div class=sidebar>{LONG}</div></div>",
+        f"<body><div class='sidebar-layout'><main>{TEXT}</main></div><div id=comments>{LONG * 9}</div>",
+        f"<body><div class='layout has-sidebar'><div>{TEXT}</div><div class=sidebar>{LONG}</div></div>",
+        "<body><div>" + "".join(map(WIDGET.format, TEXT.replace("</p>", "</p>\0").split("\0"))) + "</div>",
+        "<main>" + "".join(map(WIDGET.format, TEXT.replace("</p>", "</p>\0").split("\0"))) + "</main>",
+        f"<div id='search-results'>{TEXT}</div><footer>{LONG}</footer>",
+        f"<form id=aspnetForm method=post><div class=menu><a href=1>One</a></div><div>{TEXT}</div></form>",
+        f"<form action=/><div><article>{TEXT}</article></div></form>",
+        f"<main data-nav='hidden'>{TEXT}</main>",
+        f"<div data-id='comments' title='role=banner hidden'>{TEXT}</div>",
+        f"<article>{TEXT}</article><div class=comments>{LONG * 20}</div>",
+        f"<article>{TEXT}<div class=related>{LONG}</div></article><form>{LONG}</form>",
+        f"<article>{TEXT}<article class=comment>{LONG}</article></article>",
+        f"<article class='post widget'>{TEXT}</article><div class=comments><article>{LONG}</article></div>",
+    ],
+)
+def test_wrappers_that_mention_a_listed_word(page):
+    assert density.extract(page) == f"Title {OWN} {OWN} {OWN}"
+
+
+def test_link_lists_inside_an_article_stay():
+    page = f"<article><p>{LONG}</p><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></article>"
+    assert density.extract(page) == f"{OWN} One Two"
