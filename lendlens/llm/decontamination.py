@@ -1,21 +1,22 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination over item-sized windows.
 
-Texts and items are cut into words (letters and digits, lower case) and five-word shingles. A
-window as long as an item can only resemble it if it holds one of its shingles, so every
-window of an item's size around such a shingle, at every start, is fingerprinted; all others
-have similarity 0. A fingerprint has 64 bits, weighted by shingle. Fingerprints are compared by
-multi-index blocks: two that differ in at most `RADIUS` bits differ in at most
-`RADIUS // BLOCKS` bits of one of `BLOCKS` blocks, so items are listed under every block value
-that near to their own and no pair within the radius is missed. Pairs within it are verified
-exactly: the weight of the shingles they share, with multiplicity, over the weight of the item.
+Texts and items are cut into words (letters and digits, lower case) and five-word shingles. The
+similarity of a window and an item is the weight of the shingles they share, with multiplicity,
+over the weight of the item; a text holds an item if any window of the item's length, at any
+start, reaches `SIMILARITY`. This is decided exactly, in the same way for items of all lengths:
 
-Everything is done once per distinct window, so a passage that many texts share costs one
-comparison. Weights are 1 to 4 by rarity among the items; a shingle of no item weighs 4.
+A window that reaches it lacks less than 1 - `SIMILARITY` of the item's weight, so it holds one
+of the item's rarest shingles that weigh more than that together (its lead). Texts are compared
+with the items whose lead they hit. A shingle's occurrence counts for the starts of the windows
+that hold it and fewer than n earlier ones, n being its number in the item; these starts are an
+interval, and a running sum over the ends of all intervals gives every window's similarity.
+
+Everything is done once per distinct text. Weights are 1 to 4 by rarity among the items; shingles
+of no item weigh nothing.
 
 Defined results: NULL and empty texts and those of fewer than five words match nothing, nor do
-items of fewer than five words or without text. Items of more than `PIECE` words are compared
-piece by piece. Items with equal text are all reported. Equal texts get equal results, one row
-per row and item. A text shorter than an item is one window.
+items of fewer than five words or without text. Items with equal text are all reported. Equal
+texts get equal results, one row per row and item. A text shorter than an item is one window.
 """
 
 from __future__ import annotations
@@ -29,15 +30,12 @@ from lendlens.llm.scratch import written
 
 WIDTH = 5
 SIMILARITY = 0.8
+#: Of `candidates`, on which no result depends.
 RADIUS = 20
 BLOCKS, BLOCK_BITS = 8, 8
-#: Longest window, in words; a fingerprint's counters have room for four times as many.
-PIECE = 2000
 HEAVIEST = 4
 #: Items' shingles that are broadcast at a time.
 PART = 2_000_000
-LANES, LANE_BITS = 16, 16
-LANE_MASK = 0x0001000100010001
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -62,75 +60,53 @@ def shingled(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Items:
-    """The benchmark: pieces of items, their shingles, weights and fingerprints."""
-
-    def __init__(self, benchmark: DataFrame, item_id: str = "item_id", text: str = "text"):
+    """The benchmark: items by content, their shingles, weights and leads."""
+
+    def __init__(
+        self,
+        benchmark: DataFrame,
+        similarity: float = SIMILARITY,
+        item_id: str = "item_id",
+        text: str = "text",
+    ):
         # Edges that are not words would be empty words.
         edges = rf"^{NOT_WORD}|{NOT_WORD}$"
         clean = benchmark.select(
             F.col(item_id).alias("item_id"), F.regexp_replace(text, edges, "").alias("text")
         ).filter(F.col("text") != "")
-        step = PIECE - WIDTH + 1
-        cut = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size("shingles") - 1) / step).cast("int")),
-            lambda i: F.slice(F.col("shingles"), i * step + 1, F.lit(step)),
-        )
-        pieces = (
-            shingled(clean)
-            .filter(F.size("shingles") > 0)
-            .select("item_id", F.explode(cut).alias("shingles"))
-            .withColumn("piece", F.xxhash64("shingles"))
-        )
-        self.pieces = written(pieces, "pieces")
-        rows = self.pieces.dropDuplicates(["piece"]).select(
-            "piece",
-            (F.size("shingles") + WIDTH - 1).alias("size"),
-            F.explode("shingles").alias("shingle"),
+        contents = shingled(clean).filter(F.size("shingles") > 0)
+        self.contents = written(contents.withColumn("item", F.xxhash64("shingles")), "items")
+        rows = self.contents.dropDuplicates(["item"]).select(
+            "item", F.size("shingles").alias("length"), F.explode("shingles").alias("shingle")
         )
-        counted = rows.groupBy("piece", "size", "shingle").agg(F.count(F.lit(1)).alias("n"))
-        among = counted.agg(F.count_distinct("piece")).scalar()
+        counted = rows.groupBy("item", "length", "shingle").agg(F.count(F.lit(1)).alias("n"))
+        counted = written(counted, "item_shingles")
+        among = counted.agg(F.count_distinct("item")).scalar()
         rare = F.log(1 + among / F.col("df")) / F.log(F.lit(1) + among)
         weights = counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
         weights = weights.select(
-            "shingle", F.greatest(F.lit(1), F.round(HEAVIEST * rare)).cast("int").alias("weight")
+            "shingle",
+            "df",
+            F.greatest(F.lit(1), F.round(HEAVIEST * rare)).cast("int").alias("weight"),
         )
-        self.weights = written(weights, "weights")
-        self.counted = written(counted.join(self.weights, "shingle"), "counted")
+        mass = F.col("n") * F.col("weight")
+        counted = counted.join(weights, "shingle").withColumn(
+            "total", F.sum(mass).over(Window.partitionBy("item"))
+        )
+        before = Window.partitionBy("item").orderBy("df", "shingle")
+        before = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # A little more than needed, so that rounding leaves none out.
+        enough = (1 - similarity) * F.col("total") + 1e-6 * F.col("total")
+        counted = counted.withColumn("lead", F.sum(mass).over(before) - mass <= enough)
+        self.counted = written(counted.drop("df"), "counted")
         # Looked up in parts of a bounded size; each part is a pass over the texts.
         parts = max(1, -(-self.counted.count() // PART))
         part = F.pmod(F.xxhash64("shingle"), F.lit(parts)).alias("part")
-        sizes = written(self.counted.select("shingle", "size", part).distinct(), "sizes")
-        self.parts = [sizes.filter(F.col("part") == i).drop("part") for i in range(parts)]
-        self.prints = written(
-            fingerprints(rows.withColumnRenamed("piece", "content"), self.weights)
-            .withColumnsRenamed({"content": "piece", "print": "item_print"}),
-            "prints",
+        leads = self.counted.groupBy("shingle").agg(
+            F.collect_list(F.when(F.col("lead"), F.col("item"))).alias("leads")
         )
-
-
-def fingerprints(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """(content, size, print) from rows (content, size, shingle): a weighted SimHash.
-
-    A bit of the fingerprint is set if the shingles whose hash has it weigh more than half.
-    Four bits are counted in one number, 16 binary digits each.
-    """
-    hashed = F.xxhash64(F.lit("simhash"), F.col("shingle"))
-    heavy = F.coalesce("weight", F.lit(HEAVIEST)).cast("long")
-    lane = [
-        F.shiftrightunsigned(hashed, k).bitwiseAND(F.lit(LANE_MASK)) * heavy for k in range(LANES)
-    ]
-    counted = (
-        rows.join(weights, "shingle", "left")
-        .groupBy("content", "size")
-        .agg(F.sum(heavy).alias("total"), *(F.sum(x).alias(f"l{k}") for k, x in enumerate(lane)))
-    )
-    made = F.lit(0).cast("long")
-    for bit in range(LANES * (64 // LANE_BITS)):
-        count = F.shiftrightunsigned(F.col(f"l{bit % LANES}"), LANE_BITS * (bit // LANES))
-        count = count.bitwiseAND(F.lit((1 << LANE_BITS) - 1))
-        value = 1 << bit if bit < 63 else -(1 << 63)
-        made = made.bitwiseOR(F.when(count * 2 > F.col("total"), F.lit(value)).otherwise(F.lit(0)))
-    return counted.select("content", "size", made.alias("print"))
+        leads = written(leads.select("shingle", "leads", part), "leads")
+        self.parts = [leads.filter(F.col("part") == i).drop("part") for i in range(parts)]
 
 
 def _block(of: str, i: int) -> Column:
@@ -171,71 +147,84 @@ def candidates(prints: DataFrame, items: DataFrame) -> DataFrame:
     return found.select("size", "print", "piece").distinct()
 
 
-def verified(
-    pairs: DataFrame, contents: DataFrame, items: Items, similarity: float = SIMILARITY
-) -> DataFrame:
-    """(content, piece, similarity) of the pairs (content, piece) that are similar enough."""
-    counted = (
-        pairs.join(contents.select("content", "shingles"), "content")
-        .select("content", "piece", F.explode("shingles").alias("shingle"))
-        .groupBy("content", "piece", "shingle")
-        .agg(F.count(F.lit(1)).alias("m"))
-    )
-    total = items.counted.groupBy("piece").agg(F.sum(F.col("n") * F.col("weight")).alias("total"))
-    shared = F.least("n", "m") * F.col("weight")
-    return (
-        counted.join(items.counted, ["piece", "shingle"])
-        .groupBy("content", "piece")
-        .agg(F.sum(shared).alias("shared"))
-        .join(written(total, "total"), "piece")
-        .select("content", "piece", (F.col("shared") / F.col("total")).alias("similarity"))
-        .filter(F.col("similarity") >= similarity)
-    )
-
-
 def _hits(texts: DataFrame, items: Items) -> DataFrame:
-    """(id, text_hash, size, pos, count, around): every item's shingle in every text.
+    """(text_hash, shingle, count, leads, at): where every text has an item's shingle.
 
-    `around` has the text's shingles that a window of the size with this one may hold.
+    `count` is the text's number of shingles, `leads` are the items that the shingle leads to.
     """
-    reach = F.col("size") - WIDTH
-    first = F.greatest(F.col("pos") - reach, F.lit(0))
     # The outer form adds no filter, which would cut every text a second time.
-    rows = texts.select("id", "text_hash", "shingles", F.posexplode_outer("shingles").alias("pos", "shingle"))
-    found = []
-    for part in items.parts:
-        found.append(
-            rows.join(F.broadcast(part), "shingle").select(
-                "id",
-                "text_hash",
-                "size",
-                "pos",
-                F.size("shingles").alias("count"),
-                F.slice("shingles", first + 1, F.col("pos") - first + reach + 1).alias("around"),
-            )
+    rows = texts.select(
+        "text_hash",
+        F.size("shingles").alias("count"),
+        F.posexplode_outer("shingles").alias("pos", "shingle"),
+    )
+    found = [rows.join(F.broadcast(part), "shingle") for part in items.parts]
+    # Equal texts have equal hits.
+    return (
+        reduce(DataFrame.unionAll, found)
+        .groupBy("text_hash", "shingle")
+        .agg(
+            F.first("count").alias("count"),
+            F.first("leads").alias("leads"),
+            F.array_sort(F.collect_set("pos")).alias("at"),
         )
-    return reduce(DataFrame.unionAll, found)
-
+    )
 
-def _windows(docs: DataFrame, items: Items) -> DataFrame:
-    """(text_hash, size, start, content, shingles): every window that holds an item's shingle.
 
-    Each window comes from the first such shingle in it.
-    """
-    keyed = docs.withColumn("id", F.monotonically_increasing_id())
-    hits = _hits(shingled(keyed.select("id", "text_hash", "text")), items)
-    before = F.lag("pos", 1, -1).over(Window.partitionBy("id", "size").orderBy("pos"))
-    reach = F.col("size") - WIDTH
-    first = F.greatest(F.col("pos") - reach, F.lit(0))
-    last = F.least(F.col("pos"), F.greatest(F.col("count") - 1 - reach, F.lit(0)))
-    fresh = F.greatest(first, F.col("before") + 1)
-    starts = F.when(fresh <= last, F.sequence(fresh, F.greatest(fresh, last)))
+def _best_windows(hits: DataFrame, items: Items) -> DataFrame:
+    """(text_hash, item, shared, start, length, total): the best window, the first of equals."""
+    pairs = hits.select("text_hash", F.explode("leads").alias("item")).distinct()
+    each = (
+        pairs.join(hits.drop("leads"), "text_hash")
+        .join(items.counted.drop("lead"), ["item", "shingle"])
+        .select(
+            "text_hash",
+            "item",
+            "length",
+            "total",
+            "weight",
+            "count",
+            # The n-th occurrence before this one; a window with both has enough without this.
+            F.posexplode(
+                F.transform(
+                    "at",
+                    lambda pos, i: F.struct(
+                        pos.alias("pos"),
+                        F.when(
+                            i >= F.col("n"), F.get("at", (i - F.col("n")).cast("int"))
+                        ).otherwise(-1).alias("full"),
+                    ),
+                )
+            ).alias("i", "one"),
+        )
+    )
+    last = F.greatest(F.col("count") - F.col("length"), F.lit(0))
+    low = F.greatest(F.col("one.full") + 1, F.col("one.pos") - F.col("length") + 1, F.lit(0))
+    high = F.least("one.pos", last)
+    ends = F.array(
+        F.struct(low.alias("start"), F.col("weight").alias("change")),
+        F.struct((high + 1).alias("start"), (-F.col("weight")).alias("change")),
+    )
+    changes = (
+        each.filter(low <= high)
+        .select("text_hash", "item", "length", "total", F.explode(ends).alias("end"))
+        .groupBy("text_hash", "item", "length", "total", "end.start")
+        .agg(F.sum("end.change").alias("change"))
+    )
+    along = Window.partitionBy("text_hash", "item").orderBy("start")
+    along = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        hits.withColumn("before", before)
-        .withColumn("start", F.explode(starts))
-        .withColumn("shingles", F.slice("around", F.col("start") - first + 1, reach + 1))
-        .withColumn("content", F.xxhash64("size", "shingles"))
-        .select("text_hash", "size", "start", "content", "shingles")
+        changes.withColumn("shared", F.sum("change").over(along))
+        .groupBy("text_hash", "item", "length", "total")
+        .agg(F.max(F.struct("shared", (-F.col("start")).alias("back"))).alias("best"))
+        .select(
+            "text_hash",
+            "item",
+            F.col("best.shared").alias("shared"),
+            (-F.col("best.back")).alias("start"),
+            "length",
+            "total",
+        )
     )
 
 
@@ -244,28 +233,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
     `docs` needs columns text_hash and text, see `keyed`.
     """
-    items = Items(benchmark)
-    windows = written(_windows(docs, items), "windows")
-    contents = written(
-        windows.groupBy("content", "size").agg(F.first("shingles").alias("shingles")), "contents"
-    )
-    rows = contents.select("content", "size", F.explode("shingles").alias("shingle"))
-    prints = written(fingerprints(rows, items.weights), "prints")
-    near = written(candidates(prints, items.prints), "near_pairs")
-    pairs = prints.join(near, ["size", "print"]).select("content", "piece")
-    sure = written(verified(pairs, contents, items, similarity), "sure")
-    best = F.struct("similarity", -F.col("start"), "size")
+    items = Items(benchmark, similarity)
+    hits = written(_hits(shingled(docs.select("text_hash", "text")), items), "hits")
+    sure = _best_windows(hits, items)
+    sure = sure.withColumn("similarity", F.col("shared") / F.col("total"))
+    sure = written(sure.filter(F.col("similarity") >= similarity), "sure")
+    size = (F.col("length") + WIDTH - 1).alias("size")
+    best = F.struct("similarity", (-F.col("start")).alias("back"), size)
     return (
-        windows.select("text_hash", "size", "start", "content")
-        .join(sure, "content")
-        .join(items.pieces.select("item_id", "piece"), "piece")
+        sure.join(items.contents.select("item_id", "item"), "item")
         .groupBy("text_hash", "item_id")
         .agg(F.max(best).alias("best"))
         .select(
             "text_hash",
             "item_id",
             F.col("best.similarity").alias("similarity"),
-            (-F.col("best.col2")).alias("start"),
+            (-F.col("best.back")).alias("start"),
             F.col("best.size").alias("size"),
         )
     )

@@ -113,3 +113,34 @@ def test_edges(edge_docs, no_docs, spark):
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() - 3
     assert dc.kept_rows(edge_docs, items.limit(0)).count() == edge_docs.count()
     assert dc.leaks(no_docs, items).count() == 0 == dc.kept_rows(no_docs, items).count()
+
+
+def similarities(text, item):
+    """By brute force: every window's shared shingles over the item's, all of one weight."""
+    own, there = Counter(grams(item)), grams(text)
+    size = sum(own.values())
+    starts = range(max(len(there) - size, 0) + 1)
+    return [sum((Counter(there[a : a + size]) & own).values()) / size for a in starts]
+
+
+def test_one_rule_for_items_of_every_length(spark):
+    """The last words or a tenth of a long item are no leak; four fifths are, in any place."""
+    rng = random.Random(8)
+    items, docs, leaked = [], [], set()
+    for i, n in enumerate((40, 1999, 2001, 2004, 9000)):
+        words = word_list(rng, n)
+        items.append((i, " ".join(words)))
+        for kind, part in enumerate((words[-5:], words[: n // 10], words[: n // 2], words[n // 8 :])):
+            text = [*word_list(rng, 30), *part, *word_list(rng, 30)]
+            docs.append((10 * i + kind, " ".join(text)))
+        # Most of the first half is new, so that no piece of it is like the item.
+        kept = [w if k % 7 or k > n // 4 else "new" for k, w in enumerate(words)]
+        docs.append((10 * i + 4, " ".join(kept)))
+        leaked |= {(10 * i + 3, i)}
+        if max(similarities(docs[-1][1], items[-1][1])) >= 0.8:
+            leaked.add((10 * i + 4, i))
+    found = dc.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ).collect()
+    assert {(row["doc_id"], row["item_id"]) for row in found} == leaked
