@@ -1,5 +1,6 @@
 """Benchmark leaks against brute force, and the guarantee of the Hamming blocks."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -144,3 +145,38 @@ def test_one_rule_for_items_of_every_length(spark):
         spark.createDataFrame(items, "item_id long, text string"),
     ).collect()
     assert {(row["doc_id"], row["item_id"]) for row in found} == leaked
+
+
+def test_no_passage_is_missed_at_any_weight(spark):
+    """Items that share template wording, with light and heavy shingles replaced at random."""
+    rng = random.Random(9)
+    template = word_list(rng, 20)
+    items = [(i, " ".join([*template, *word_list(rng, rng.randint(15, 30))])) for i in range(80)]
+    df = Counter(gram for _, item in items for gram in set(grams(item)))
+    rare = {g: math.log(1 + len(items) / n) / math.log(1 + len(items)) for g, n in df.items()}
+    weight = {gram: max(1, math.floor(4 * r + 0.5)) for gram, r in rare.items()}
+    docs, leaked, spared = [], set(), 0
+    for i, item in items:
+        own = Counter(grams(item))
+        total = sum(n * weight[g] for g, n in own.items())
+        for kind in range(12):
+            words = item.split()
+            for at in rng.sample(range(20 if kind % 3 else len(words)), 1 + kind % 4):
+                words[at] = "".join(rng.choices("klmnop", k=6))
+            docs.append((100 * i + kind, " ".join([*word_list(rng, 9), *words, *word_list(rng, 9)])))
+            there = grams(docs[-1][1])
+            size = len(grams(item))
+            best = max(
+                sum(n * weight[g] for g, n in (Counter(there[a : a + size]) & own).items())
+                for a in range(len(there) - size + 1)
+            )
+            if best / total >= 0.8:
+                leaked.add((docs[-1][0], i))
+            else:
+                spared += 1
+    found = dc.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == leaked
+    assert len(leaked) > 200 and spared > 50
