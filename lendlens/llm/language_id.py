@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of character trigrams.
 
-One filter serves all languages: each position holds a bitmask with a bit per language, and the
-conjunction of a trigram's positions is the set of languages that contain it. A text's trigrams
+One filter serves all languages: each position holds a bitmask with a bit per language, in as
+many words of `BITS` as the languages need, and the conjunction of a trigram's positions is the set of languages that contain it. A text's trigrams
 are looked up at once, each language's hits are counted from the masks, corrected for the false
 positives expected of its filter, and the language with most decides. The score is its share of
 all languages' corrected hits.
@@ -35,8 +35,8 @@ MIN_SHARE = 2e-5
 MIN_RATIO = 0.1
 POSITIONS = 1 << 20
 HASHES = 3
-#: Bits of a mask.
-MOST_LANGUAGES = 63
+#: Bits of a word of a mask.
+BITS = 63
 UNDETERMINED = "und"
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Characters looked at together, so that a long text needs little memory.
@@ -68,16 +68,26 @@ def _positions(grams: np.ndarray) -> list[np.ndarray]:
 
 
 class Filters:
-    """The masks, the languages of their bits, and the false positive rate of each."""
+    """The masks, the languages of their bits, and the false positive rate of each.
+
+    Language i has bit i % BITS of word i // BITS; `masks` of the trigrams may have one column per
+    word. `words` holds an array of positions per word, `masks` is the first.
+    """
 
     def __init__(self, languages: list[str], grams: np.ndarray, masks: np.ndarray):
         self.languages = languages
-        self.masks = np.zeros(POSITIONS, np.uint64)
-        for at in _positions(grams):
-            np.bitwise_or.at(self.masks, at.astype(np.int64), masks)
-        filled = [self._has(self.masks, i).mean() for i in range(len(languages))]
+        columns = masks.reshape(len(grams), -1).T if len(grams) else []
+        self.words = [np.zeros(POSITIONS, np.uint64) for _ in range(max(1, -(-len(languages) // BITS)))]
+        for word, column in zip(self.words, columns, strict=False):
+            for at in _positions(grams):
+                np.bitwise_or.at(word, at.astype(np.int64), column)
+        filled = [self._has(self.words[i // BITS], i % BITS).mean() for i in range(len(languages))]
         self.false = np.array(filled, float) ** HASHES
 
+    @property
+    def masks(self) -> np.ndarray:
+        return self.words[0]
+
     @staticmethod
     def _has(masks: np.ndarray, i: int) -> np.ndarray:
         return (masks >> np.uint64(i)) & np.uint64(1)
@@ -86,11 +96,14 @@ class Filters:
         """Corrected hits of every language, and the number of trigrams."""
         hits, n = np.zeros(len(self.languages)), 0
         for grams in trigrams(text):
-            found = np.full(len(grams), np.iinfo(np.uint64).max, np.uint64)
-            for at in _positions(grams):
-                found &= self.masks[at]
+            positions = _positions(grams)
             n += len(grams)
-            hits += [self._has(found, i).sum() for i in range(len(self.languages))]
+            for first, word in zip(range(0, len(hits), BITS), self.words, strict=True):
+                found = np.full(len(grams), np.iinfo(np.uint64).max, np.uint64)
+                for at in positions:
+                    found &= word[at]
+                here = range(min(BITS, len(hits) - first))
+                hits[first : first + BITS] += [self._has(found, i).sum() for i in here]
         return np.maximum(0, (hits - n * self.false) / (1 - self.false)), n
 
     def predict(self, text: str | None, usual: str) -> tuple[str, float]:
@@ -121,20 +134,23 @@ def trained(
     """Filters and the usual language from rows (lang, text)."""
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages; a mask has {MOST_LANGUAGES} bits")
     if not counts:
         return Filters([], np.zeros(0, np.uint64), np.zeros(0, np.uint64)), UNDETERMINED
     languages = sorted(counts)
     usual = max(languages, key=counts.__getitem__)
     steps = 1 << 20
-    part = F.lit(0)
-    for lang, count in counts.items():
-        chosen = min(steps, -(-steps * training_texts // count))
-        part = F.when(F.col("lang") == lang, F.lit(chosen)).otherwise(part)
+    # A row per language, joined: a CASE over many labels would be a deep expression.
+    known = labelled.sparkSession.createDataFrame(
+        [
+            (lang, min(steps, -(-steps * training_texts // counts[lang])), i // BITS, 1 << i % BITS)
+            for i, lang in enumerate(languages)
+        ],
+        "lang string, part long, word int, bit long",
+    )
     hashed = F.xxhash64("text")
     sample = (
-        labelled.filter(F.pmod(hashed, F.lit(steps)) < part)
+        labelled.join(F.broadcast(known.select("lang", "part")), "lang")
+        .filter(F.pmod(hashed, F.lit(steps)) < F.col("part"))
         .groupBy("lang", hashed.alias("h"))
         .agg(F.min("text").alias("text"))
         .select("lang", "text")
@@ -148,19 +164,21 @@ def trained(
     best = shares.groupBy("gram").agg(
         F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("each")
     )
-    bit = F.lit(0).cast("long")
-    for i, lang in enumerate(languages):
-        bit = F.when(F.col("one.lang") == lang, F.lit(1 << i)).otherwise(bit)
     kept = (
         best.filter(F.col("best") >= MIN_SHARE)
         .select("gram", "best", F.explode("each").alias("one"))
         .filter(F.col("one.share") >= F.greatest(F.lit(MIN_SHARE), F.col("best") * MIN_RATIO))
-        .groupBy("gram")
-        .agg(F.bit_or(bit).alias("mask"))
+        .select("gram", F.col("one.lang").alias("lang"))
+        .join(F.broadcast(known.select("lang", "word", "bit")), "lang")
+        .groupBy("gram", "word")
+        .agg(F.bit_or("bit").alias("mask"))
         .collect()
     )
-    found = np.array([row["gram"] for row in kept], np.int64).view(np.uint64)
-    masks = np.array([row["mask"] for row in kept], np.int64).view(np.uint64)
+    grams = np.array([row["gram"] for row in kept], np.int64)
+    found, place = np.unique(grams, return_inverse=True)
+    masks = np.zeros((len(found), -(-len(languages) // BITS)), np.uint64)
+    masks[place, [row["word"] for row in kept]] = [row["mask"] for row in kept]
+    found = found.view(np.uint64)
     return Filters(languages, found, masks), usual
 
 

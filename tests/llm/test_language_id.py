@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy, corrections, defined results."""
 
+import random
 import zlib
 
 import numpy as np
@@ -61,3 +62,19 @@ def test_no_training_language(spark):
     )
     (row,) = language_id.identified(docs).collect()
     assert row["lang_pred"] == "und"
+
+
+def test_a_hundred_labels(spark):
+    """More labels than a word of a mask has bits."""
+    rng = random.Random(3)
+    docs = []
+    for label in range(100):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)]
+        for i in range(8):
+            docs.append((8 * label + i, " ".join(rng.choices(words, k=40)), f"x{label:02}"))
+    rows = language_id.identified(
+        spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    ).collect()
+    labels = {doc_id: lang for doc_id, _, lang in docs}
+    assert len(rows) == 800 and sum(row["held_out"] for row in rows) > 100
+    assert {row["doc_id"]: row["lang_pred"] for row in rows} == labels
