@@ -5,7 +5,10 @@ after an honorific are found in every text and replaced. A surrogate is drawn fr
 type and canonical value, so every mention of an entity, in any text and any writing of it,
 gets the same one, in the writing of the mention: digits for digits, letters of the same script
 and case for letters, given names of the same gender, valid octets, a right check digit where
-there was one.
+there was one. Names are whole words of any cased script, up to the last part; given and family
+names are drawn separately, so a family name has one surrogate with every title. What was found
+after an honorific is also replaced where it stands bare in the same text. Particles (von, de) and
+suffixes (Jr) stay.
 
 Surrogates are checked over all texts: one that equals another entity's surrogate, or a real
 value that occurs, is drawn anew for all but the first entity, until none is left. Only the
@@ -21,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,9 +37,27 @@ KEY = b"surrogate"
 #: Draws after which a surrogate may be longer, as the shape may have no free value.
 WIDER_AFTER = 8
 
-_LATIN_NAME = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+"
-_CYRILLIC_NAME = r"[А-ЯЁ][а-яё-]+"
-_NAME = rf"(?:{_LATIN_NAME}|{_CYRILLIC_NAME})"
+def _upper() -> str:
+    """The capital letters of all scripts, as the inside of a character class."""
+    capitals = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Lu", "Lt")]
+    runs: list[list[int]] = []
+    for c in capitals:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+_CAPITAL = f"[{_upper()}]"
+_LETTER = r"(?:[^\W\d_]|[\u0300-\u036f])"
+#: A possessive s is not part of a name.
+_PART = rf"{_CAPITAL}(?:{_LETTER}|['’-](?!s(?!\w))(?={_LETTER}))*(?!\w)"
+_INITIAL = rf"{_CAPITAL}\.(?:[ -]?{_CAPITAL}\.)*"
+_PARTICLE = r"(?:von|vom|van|de|der|den|del|della|di|da|do|dos|du|la|le|ten|ter|zu|zur|bin|ibn|al|el)"
+_NAME = rf"(?:{_PARTICLE}[ \xa0])*(?:{_INITIAL}|{_PART})"
+_SUFFIXES = frozenset(["Jr", "Sr", "II", "III", "IV"])
+_PIECES = re.compile(rf"(?P<initial>{_INITIAL})|(?<!\w)(?P<part>{_PART})")
 MALE = ("Mr", "Herr", "Monsieur", "M.", "Señor", "Sr.", "Sr", "Don", "Господин")
 FEMALE = (
     "Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra.", "Sra",
@@ -53,7 +76,8 @@ KINDS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
     r"|(?<![\w+])\+\d{1,3}(?:[ .-]\(?\d{1,4}\)?){2,5}(?!\w)"
     r"|(?<![\w+])\+\d{7,14}(?!\w)",
-    "name": rf"(?<!\w)(?:{_HONORIFIC})\.? (?P<name>{_NAME}(?: {_NAME})?)",
+    "name": rf"(?<!\w)(?P<title>{_HONORIFIC})(?:\.[ \xa0]?|[ \xa0])(?:(?:Dr|Prof)(?:\.[ \xa0]?|[ \xa0]))*"
+    rf"(?P<name>{_NAME}(?:[ \xa0]?(?<=[ \xa0.]){_NAME})*)",
 }
 _FOUND = {kind: re.compile(pattern) for kind, pattern in KINDS.items()}
 #: Fewest digits of a telephone number.
@@ -64,6 +88,8 @@ _COUNTRY = re.compile(r"^\+\d{1,3}[ .-]")
 _NEEDS = {"email": "@", "ipv6": ":", "ssn": "-"}
 _DIGIT = re.compile(r"\d")
 _TAKEN = "\0"
+#: Marks what belongs to the mention before.
+MORE = "+"
 
 #: Given names by gender and script; family names are made of syllables.
 GIVEN = {
@@ -73,9 +99,13 @@ GIVEN = {
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Иван Максим Олег Павел Роман".split(),
     ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Ирина Мария Нина Ольга София".split(),
     ("n", "cyrillic"): "Женя Саша Валя Слава".split(),
+    ("m", "greek"): "Ανδρέας Βασίλης Γιώργος Δημήτρης Κώστας Νίκος Πέτρος Σταύρος".split(),
+    ("f", "greek"): "Άννα Βάσω Δήμητρα Ελένη Κατερίνα Μαρία Σοφία Χριστίνα".split(),
+    ("n", "greek"): "Αλέξ Ρένα Φανή".split(),
 }
 SYLLABLES = {
     "latin": "ba be bo da de di do fa fe ga ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta to va vo".split(),
+    "greek": "βα βε βο δα δε κα κο λα λε μα με να νε ρα ρο σα σο τα το".split(),
     "cyrillic": "ба бе бо да де ди до ка ко ла ле ло ма ме мо на не но ра ро са се со та то ва во".split(),
 }
 
@@ -89,11 +119,16 @@ def gender(honorific: str) -> str:
 
 
 def script(name: str) -> str:
-    return "cyrillic" if re.search("[А-яЁё]", name) else "latin"
+    if re.search("[\u0370-\u03ff\u1f00-\u1fff]", name):
+        return "greek"
+    return "cyrillic" if re.search("[\u0400-\u052f]", name) else "latin"
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, kind, canonical value, detail) of every entity, in order."""
+    """(start, end, kind, canonical value, detail) of every entity, in order.
+
+    Parts of a name are entities of their own; all but a mention's first have the detail `MORE`.
+    """
     found: list[tuple[int, int, str, str, str]] = []
     some_digit = _DIGIT.search(text) is not None
     for kind, pattern in _FOUND.items():
@@ -101,12 +136,15 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
             continue
         spans = []
         for match in pattern.finditer(text):
-            start, end = match.span("name" if kind == "name" else 0)
+            if kind == "name":
+                for part in _name_parts(match):
+                    spans.append(part[:2])
+                    found.append(part)
+                continue
+            start, end = match.span()
             value = text[start:end]
             detail = ""
-            if kind == "name":
-                detail = gender(text[match.start() : start]) + script(value)
-            elif kind == "phone" and len(re.sub(r"\D", "", value)) < PHONE_DIGITS:
+            if kind == "phone" and len(re.sub(r"\D", "", value)) < PHONE_DIGITS:
                 continue
             spans.append((start, end))
             found.append((start, end, kind, canonical(kind, value, detail), detail))
@@ -117,7 +155,39 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str]]:
                 text[a:b] if i % 2 == 0 else _TAKEN * (b - a)
                 for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
             )
-    return sorted(found)
+    return sorted([*found, *_bare(text, found)])
+
+
+def _name_parts(match: re.Match) -> list[tuple[int, int, str, str, str]]:
+    """Given names, initials and the family name, the last part that is no suffix."""
+    sex, whole, at = gender(match["title"]), match["name"], match.start("name")
+    pieces = [p for p in _PIECES.finditer(whole) if p[0] not in _SUFFIXES] or list(_PIECES.finditer(whole))
+    parts = []
+    for i, piece in enumerate(pieces):
+        kind = "initial" if piece["initial"] else "name"
+        detail = f"g{sex}" if i < len(pieces) - 1 else "n"
+        value = canonical(kind, piece[0], detail + script(piece[0]))
+        parts.append((at + piece.start(), at + piece.end(), kind, value, MORE if i else ""))
+    return parts
+
+
+def _bare(text: str, found: list[tuple[int, int, str, str, str]]) -> list[tuple[int, int, str, str, str]]:
+    """Repeats, without an honorific, of the names found; `text` has these taken out."""
+    values: dict[str, str] = {}
+    for _, _, kind, value, _ in sorted(found):
+        if kind == "name":
+            name = value.partition(":")[2]
+            if name not in values or value.startswith("n"):
+                values[name] = value
+    if not values:
+        return []
+    any_name = "|".join(map(re.escape, sorted(values, key=len, reverse=True)))
+    repeats, at = [], -1
+    for match in re.finditer(rf"(?<!\w)(?:{any_name})(?!\w)", text):
+        detail = MORE if match.start() == at + 1 and text[at] in " \xa0" else ""
+        repeats.append((*match.span(), "name", values[match[0]], detail))
+        at = match.end()
+    return repeats
 
 
 def canonical(kind: str, value: str, detail: str = "") -> str:
@@ -130,6 +200,8 @@ def canonical(kind: str, value: str, detail: str = "") -> str:
         return value.replace(" ", "")
     if kind == "name":
         return f"{detail}:{value}"
+    if kind == "initial":
+        return value
     return value.lower()
 
 
@@ -167,6 +239,9 @@ def _letter(c: str, draw: _Draw) -> str:
         return str(draw(10))
     if not c.isalpha():
         return c
+    if script(c) == "greek":
+        made = "αβγδεζηθικλμνξοπρστυφχψω"[draw(24)]
+        return made.upper() if c.isupper() else made
     alphabet = "абвгдежзиклмнопрстуфхцчшэюя" if script(c) == "cyrillic" else "abcdefghijklmnopqrstuvwxyz"
     made = alphabet[draw(len(alphabet))]
     return made.upper() if c.isupper() else made
@@ -195,13 +270,22 @@ def surrogate(kind: str, value: str, draw_number: int = 0, key: bytes = KEY) ->
         return value[:2] + _digits(value[2:4], draw) + tail
     if kind == "name":
         detail, _, name = value.partition(":")
-        sex, kind_of = detail[:1], detail[1:]
-        given = GIVEN[sex, kind_of]
-        count = 2 + draw(2) + wider
+        if " " in name:
+            *first, last = name.split()
+            made = [surrogate(kind, f"g{detail}:{x}", draw_number, key) for x in first]
+            made.append(surrogate(kind, f"n{detail[1:]}:{last}", draw_number, key))
+            return f"{detail}:{' '.join(m.partition(':')[2] for m in made)}"
+        kind_of = detail[2:] if detail[0] == "g" else detail[1:]
         syllables = SYLLABLES[kind_of]
-        family = "".join(syllables[draw(len(syllables))] for _ in range(count)).capitalize()
-        names = [given[draw(len(given))], family] if " " in name else [family]
-        return f"{detail}:{' '.join(names)}"
+        # Given names are few: one that is drawn anew gets syllables.
+        count = (2 + draw(2) if detail[0] != "g" else 2 * (draw_number > 0)) + wider
+        made = "".join(syllables[draw(len(syllables))] for _ in range(count))
+        if detail[0] == "g":
+            given = [x for x in GIVEN[detail[1], kind_of] if x != name]
+            return f"{detail}:{given[draw(len(given))]}{made}"
+        return f"{detail}:{made.capitalize()}"
+    if kind == "initial":
+        return "".join(_letter(c, draw) for c in value)
     made = _digits(value + "0" * wider, draw)
     if kind == "card" and _luhn(value) % 10 == 0:
         made = next(made[:-1] + d for d in "0123456789" if _luhn(made[:-1] + d) % 10 == 0)
@@ -235,7 +319,7 @@ def entities(text: Column) -> Column:
         return texts.map(
             lambda text: [
                 {"kind": k, "value": v}
-                for k, v in sorted({(kind, value) for _, _, kind, value, _ in mentions(text or "")})
+                for k, v in sorted({m[2:4] for m in mentions(text or "") if m[2] != "initial"})
             ]
         )
 
@@ -271,6 +355,17 @@ def mapping(found: DataFrame, key: bytes = KEY) -> DataFrame:
         taken = taken.union(settled.select("kind", "made", F.lit("").alias("first")))
 
 
+def replaced(text: str, drawn: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, int]:
+    """A text with surrogates, by the draws above zero, and the number of mentions."""
+    pieces, at = [], 0
+    found = mentions(text)
+    for start, end, kind, value, _ in found:
+        made = surrogate(kind, value, drawn.get((kind, value), 0), key)
+        pieces += [text[at:start], written_like(kind, text[start:end], made)]
+        at = end
+    return "".join([*pieces, text[at:]]), sum(detail != MORE for *_, detail in found)
+
+
 def _replaced(key: bytes):
     def replace(texts: pd.Series, again: pd.Series) -> pd.DataFrame:
         rows = []
@@ -279,13 +374,7 @@ def _replaced(key: bytes):
                 rows.append((None, 0))
                 continue
             drawn = {} if draws is None else {(d["kind"], d["value"]): d["draw"] for d in draws}
-            pieces, at = [], 0
-            found = mentions(text)
-            for start, end, kind, value, _ in found:
-                made = surrogate(kind, value, drawn.get((kind, value), 0), key)
-                pieces += [text[at:start], written_like(kind, text[start:end], made)]
-                at = end
-            rows.append(("".join([*pieces, text[at:]]), len(found)))
+            rows.append(replaced(text, drawn, key))
         return pd.DataFrame(rows, columns=["text", "n_replaced"])
 
     return F.pandas_udf(replace, "text string, n_replaced long")

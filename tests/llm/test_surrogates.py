@@ -92,3 +92,30 @@ def test_edges(edge_docs, no_docs, spark):
     before = edge_docs.select("doc_id", "text").exceptAll(rows.select("doc_id", "text"))
     assert before.count() == 0 and rows.agg(F.sum("n_replaced")).first()[0] == 0
     assert surrogates.anonymised(no_docs).count() == 0
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "Mr. Jean-Pierre Dupont", "Mrs. O'Brien", "Mr McDonald", "Dr. Kovačić", "Mr. John Paul Smith",
+        "Mr. J. Smith", "Prof. Łukasz Nowak", "Prof. Dr. Łukasz Nowak", "Dr. Γιάννης Παπαδόπουλος",
+        "Herr Ludwig van Beethoven", "Mr. J.R.R. Tolkien", "Господин Иван Петров-Водкин",
+    ],
+)
+def test_whole_names(name):
+    text = f"So {name}'s dog came."
+    made, _ = surrogates.replaced(text, {})
+    title = re.match(r"(?:\w+\.? (?=Dr))?\w+\.? ", name)[0]
+    assert made.startswith(f"So {title}") and made.endswith("'s dog came.")
+    words = set(re.findall(r"[^\W\d_]{2,}", name[len(title) :])) - {"van"}
+    assert not words & set(re.findall(r"[^\W\d_]+", made)) and words
+
+
+def test_mentions_of_a_person_agree():
+    text = "Mr. John Smith and Dr. Smith met. Smith left; John Smith stayed, Mr. Smith's hat too."
+    made, n_replaced = surrogates.replaced(text, {})
+    shown = re.fullmatch(
+        r"Mr. (\w+) (\w+) and Dr. (\w+) met. (\w+) left; (\w+) (\w+) stayed, Mr. (\w+)'s hat too.", made
+    ).groups()
+    assert len({shown[i] for i in (1, 2, 3, 5, 6)}) == 1 and shown[0] == shown[4] != "John"
+    assert "Smith" not in made and n_replaced == 5
