@@ -338,21 +338,27 @@ def mapping(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, value, draw, made): a surrogate per entity of `found` (kind, value), all distinct."""
     drawn = _drawn(key)
     real = written(found.select("kind", "value").distinct(), "entities")
-    taken = real.select("kind", F.col("value").alias("made"), F.lit("").alias("first"))
+    taken = real.select("kind", _shown("value").alias("shown"), F.lit("").alias("first"))
     done, todo = None, real.withColumn("draw", F.lit(0))
     while True:
-        todo = written(todo.withColumn("made", drawn("kind", "value", "draw")), "drawn")
-        first = todo.groupBy("kind", "made").agg(F.min("value").alias("first"))
+        todo = todo.withColumn("made", drawn("kind", "value", "draw"))
+        todo = written(todo.withColumn("shown", _shown("made")), "drawn")
+        first = todo.groupBy("kind", "shown").agg(F.min("value").alias("first"))
         # Real values and earlier surrogates come before all new ones.
-        first = first.union(taken).groupBy("kind", "made").agg(F.min("first").alias("first"))
-        judged = written(todo.join(written(first, "first"), ["kind", "made"]), "judged")
+        first = first.union(taken).groupBy("kind", "shown").agg(F.min("first").alias("first"))
+        judged = written(todo.join(written(first, "first"), ["kind", "shown"]), "judged")
         settled = judged.filter(F.col("first") == F.col("value")).drop("first")
         done = settled if done is None else done.union(settled)
         todo = judged.filter(F.col("first") != F.col("value"))
         todo = written(todo.select("kind", "value", (F.col("draw") + 1).alias("draw")), "todo")
         if todo.isEmpty():
             return done.select("kind", "value", "draw", "made")
-        taken = taken.union(settled.select("kind", "made", F.lit("").alias("first")))
+        taken = taken.union(settled.select("kind", "shown", F.lit("").alias("first")))
+
+
+def _shown(of: str) -> Column:
+    """What is written for a value or a surrogate: a name without its detail."""
+    return F.when(F.col("kind") == "name", F.regexp_replace(of, "^[^:]*:", "")).otherwise(F.col(of))
 
 
 def replaced(text: str, drawn: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, int]:

@@ -119,3 +119,15 @@ def test_mentions_of_a_person_agree():
     ).groups()
     assert len({shown[i] for i in (1, 2, 3, 5, 6)}) == 1 and shown[0] == shown[4] != "John"
     assert "Smith" not in made and n_replaced == 5
+
+
+def test_names_of_several_titles_stay_apart(spark):
+    """Names are compared as they are written, given and family names of all titles together."""
+    details = ("nlatin", "gmlatin", "gflatin", "gnlatin")
+    values = [f"{d}:{n}{i}" for i, n in enumerate(("Smith", "Badobo", "Karl", "Anna") * 75) for d in details]
+    values += [f"{d}:{n}" for d in details for n in surrogates.GIVEN["m", "latin"]]
+    found = spark.createDataFrame([("name", v) for v in values], "kind string, value string")
+    rows = surrogates.mapping(found).collect()
+    shown = [row["made"].partition(":")[2] for row in rows]
+    assert len(rows) == len(values) == len(set(shown))
+    assert not set(shown) & {v.partition(":")[2] for v in values}
