@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendlens.llm import (
+    alignment,
     decontamination,
     density,
     language_id,
@@ -75,6 +76,10 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicated(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     made.__name__: made
     for made in (
@@ -88,6 +93,7 @@ QUERIES = {
         op8_simhash_windows,
         op9_text_density,
         op10_minhash_bayes,
+        op11_token_alignment,
     )
 }
 
