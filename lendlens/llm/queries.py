@@ -17,6 +17,7 @@ from lendlens.llm import (
     near_dedup,
     outliers,
     secrets,
+    simhash_dedup,
     slots,
     surrogates,
     url_filter,
@@ -80,6 +81,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.clustered(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     made.__name__: made
     for made in (
@@ -94,6 +99,7 @@ QUERIES = {
         op9_text_density,
         op10_minhash_bayes,
         op11_token_alignment,
+        op12_deletion_variants,
     )
 }
 
