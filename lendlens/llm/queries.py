@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lendlens.llm import (
     alignment,
+    collocations,
     decontamination,
     density,
     language_id,
@@ -85,6 +86,10 @@ def op12_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.clustered(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_debruijn_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
 QUERIES = {
     made.__name__: made
     for made in (
@@ -100,6 +105,7 @@ QUERIES = {
         op10_minhash_bayes,
         op11_token_alignment,
         op12_deletion_variants,
+        op13_debruijn_phrases,
     )
 }
 
@@ -145,5 +151,49 @@ SELECT page_id, host, path, rule,
     ruled.canonical AS canonical,
     listed.canonical IS NOT NULL AS listed
 FROM ruled LEFT JOIN listed ON ruled.canonical = listed.canonical
+""",
+    "op13_debruijn_phrases": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+        unnest(string_split_regex(
+            translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), cut AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+    FROM pieces
+), sizes AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang
+), places AS (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+    FROM (SELECT lang, w, unnest(range(1, 6)) AS k FROM cut) WHERE len(w) >= k
+), counts AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM places GROUP BY ALL HAVING count(*) >= 100
+), candidates AS (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2
+), cuts AS (
+    SELECT *, unnest(range(1, k)) AS j FROM candidates
+), scores AS (
+    SELECT c.lang, c.k, c.phrase, c.a, c.j, l.f AS l, r.f AS r, n,
+        ((1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+    FROM cuts c
+    JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ')
+    JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:c.k], ' ')
+    JOIN sizes s ON s.lang = c.lang
+), best AS (
+    SELECT * FROM scores
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), kept AS (
+    SELECT * FROM best b WHERE NOT EXISTS (
+        SELECT 1 FROM candidates o
+        WHERE o.lang = b.lang AND o.k > b.k AND 100 * o.a >= 100 * b.a
+            AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+    phrase, a, l, r, n, score
+FROM kept
+QUALIFY rank <= 2000
 """,
 }

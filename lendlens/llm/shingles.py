@@ -45,19 +45,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One hash per word; A-Z count as a-z."""
-    data = np.frombuffer(text.lower(), np.uint8)  # bytes are lowered in ASCII only
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
-    edges = np.diff(inside)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of true values start and end."""
+    padded = np.zeros(len(inside) + 2, np.int8)
+    padded[1:-1] = inside
+    edges = np.diff(padded)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash per span of bytes, the same wherever the span lies."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS(len(data)), out=sums[1:])
     own = (sums[ends] - sums[starts]) * _INVERSES(len(data))[starts]
     return mixed(own + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """One hash per word; A-Z count as a-z."""
+    data = np.frombuffer(text.lower(), np.uint8)  # bytes are lowered in ASCII only
+    return span_hashes(data, *runs(~_SPACE[data]))
+
+
 def shingle_set(text: bytes | None) -> np.ndarray:
     """The distinct shingle hashes, in order; with fewer words one of the whole sequence."""
     words = word_hashes(text or b"")
