@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 A text is encoded by a byte-level BPE (A, of space and text) and by a piece model (B, which
-adds the space itself). Dictionaries lead from the byte offset where a token ends to the number
+adds the space itself). A dictionary leads from the byte offset where a token ends to the number
 of tokens up to there; the offsets in both, in order, slice both lists of ids into groups, and
 within each group the tokens whose byte ranges overlap are linked.
 
@@ -22,7 +22,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +136,13 @@ class Aligner:
 
     def __init__(self, definition_a: str, model_b: bytes):
         self.a, self.b = _A(definition_a), _B(model_b)
-        self._long = [[len(x) for x in side.bytes] for side in (self.a, self.b)]
+        self._longs = [[len(x) for x in side.bytes] for side in (self.a, self.b)]
+        self._long = [np.array(long, np.int64) for long in self._longs]
+        #: Ids as they stand in a group of one token of each.
+        self._shown = [
+            [f"{i}|" for i in range(len(self.a.bytes))],
+            [str(i) for i in range(max(len(self.a.bytes), len(self.b.bytes)))],
+        ]
 
     def tokens(self, text: bytes | None) -> tuple[list[int], list[int]]:
         """The ids of A and B; none where their bytes are not the text's."""
@@ -148,23 +154,32 @@ class Aligner:
             return [], []
         found = self.a.ids(f" {plain}"), self.b.ids(plain)
         for side, ids in zip((self.a, self.b), found, strict=True):
-            if b"".join([side.bytes[i] for i in ids]) != b" " + text:
+            if b"".join(map(side.bytes.__getitem__, ids)) != b" " + text:
                 return [], []
         return found
 
-    def ends(self, side: int, ids: list[int]) -> dict[int, int]:
-        """How many tokens end at or before an offset where one ends."""
-        long = self._long[side]
-        return dict(zip(accumulate([long[i] for i in ids]), range(1, len(ids) + 1), strict=True))
+    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of A and of B up to the end of each group.
+
+        B's ends lead to their numbers of tokens; A's, which ascend, are looked up in order.
+        """
+        ends_a, ends_b = np.cumsum(self._long[0][a]), np.cumsum(self._long[1][b])
+        at_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1), strict=True))
+        found = np.fromiter(map(at_b.get, ends_a.tolist(), repeat(0)), np.int64, len(a))
+        common = np.flatnonzero(found)
+        return common + 1, found[common]
 
-    def cuts(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
-        """Tokens of A and of B up to the end of each group."""
-        ends_a, ends_b = self.ends(0, a), self.ends(1, b)
-        return [(ends_a[end], ends_b[end]) for end in sorted(ends_a.keys() & ends_b.keys())]
+    def slices(self, a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """The first token and the one after the last, of A and of B, of each group."""
+        i = j = 0
+        cuts = self.cuts(np.array(a, np.int64), np.array(b, np.int64))
+        for end_a, end_b in zip(*(cut.tolist() for cut in cuts), strict=True):
+            yield i, end_a, j, end_b
+            i, j = end_a, end_b
 
     def crossed(self, a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
-        """Positions of linked tokens in a group that has several of both."""
-        of_a, of_b = self._long
+        """Positions of linked tokens in a group."""
+        of_a, of_b = self._longs
         i = j = 0
         end_a, end_b = of_a[a[0]], of_b[b[0]]
         while True:
@@ -181,37 +196,39 @@ class Aligner:
 
     def links(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
         """Positions of the linked tokens of a text, group by group."""
-        made, i, j = [], 0, 0
-        for end_a, end_b in self.cuts(a, b):
-            if end_a - i == 1 or end_b - j == 1:
-                made += [(p, q) for p in range(i, end_a) for q in range(j, end_b)]
-            else:
-                made += [(i + p, j + q) for p, q in self.crossed(a[i:end_a], b[j:end_b])]
-            i, j = end_a, end_b
+        made = []
+        for i, end_a, j, end_b in self.slices(a, b):
+            made += [(i + p, j + q) for p, q in self.crossed(a[i:end_a], b[j:end_b])]
         return made
 
-    def digest(self, a: list[int], b: list[int]) -> tuple[int, list[int], str]:
+    def digest(self, a: list[int], b: list[int]) -> tuple[int, np.ndarray, str]:
         """The number of groups, linked ids as a * 2^32 + b, and the hash of the groups."""
-        codes, written_groups, i, j = [], [], 0, 0
-        cuts = self.cuts(a, b)
-        for end_a, end_b in cuts:
-            if end_a - i == 1:
-                if end_b - j == 1:  # most groups
-                    codes.append(a[i] << 32 | b[j])
-                    written_groups.append(f"{a[i]}|{b[j]}")
-                else:
-                    codes += [a[i] << 32 | other for other in b[j:end_b]]
-                    written_groups.append(f"{a[i]}|{','.join(map(str, b[j:end_b]))}")
+        if not a:
+            return 0, np.empty(0, np.int64), ""
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        cut_a, cut_b = self.cuts(ids_a, ids_b)
+        last_a, last_b = ids_a[cut_a - 1], ids_b[cut_b - 1]
+        # Most groups are one token of each; those are made all at once, the others in turn.
+        shown_a, shown_b = self._shown
+        pairs = zip(last_a.tolist(), last_b.tolist(), strict=True)
+        written_groups = [shown_a[i] + shown_b[j] for i, j in pairs]
+        one = (np.diff(cut_a, prepend=0) == 1) & (np.diff(cut_b, prepend=0) == 1)
+        others, codes = np.flatnonzero(~one), []
+        starts_a, starts_b = (np.concatenate([[0], cut[:-1]]) for cut in (cut_a, cut_b))
+        edges = (side[others].tolist() for side in (starts_a, cut_a, starts_b, cut_b))
+        for group, i, end_a, j, end_b in zip(others.tolist(), *edges, strict=True):
+            own, other = a[i:end_a], b[j:end_b]
+            if len(own) == 1:
+                codes += [own[0] << 32 | q for q in other]
+            elif len(other) == 1:
+                codes += [p << 32 | other[0] for p in own]
             else:
-                own, other = a[i:end_a], b[j:end_b]
-                if end_b - j == 1:
-                    codes += [one << 32 | b[j] for one in own]
-                else:
-                    codes += [own[p] << 32 | other[q] for p, q in self.crossed(own, other)]
-                written_groups.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-            i, j = end_a, end_b
-        hashed = hashlib.sha256(";".join(written_groups).encode()).hexdigest() if cuts else ""
-        return len(cuts), codes, hashed
+                codes += [own[p] << 32 | other[q] for p, q in self.crossed(own, other)]
+            shown = ",".join([shown_b[p] for p in own]), ",".join([shown_b[q] for q in other])
+            written_groups[group] = "|".join(shown)
+        linked = np.concatenate([last_a[one] << 32 | last_b[one], np.array(codes, np.int64)])
+        hashed = hashlib.sha256(";".join(written_groups).encode()).hexdigest()
+        return len(cut_a), linked, hashed
 
 
 class _Files:
@@ -263,10 +280,9 @@ def aligned(
         for batch in batches:
             for number, text in _texts(batch):
                 a, b = aligner.tokens(text)
-                groups, i, j = [], 0, 0
-                for end_a, end_b in aligner.cuts(a, b):
-                    groups.append({"a": a[i:end_a], "b": b[j:end_b]})
-                    i, j = end_a, end_b
+                groups = [
+                    {"a": a[i:end_a], "b": b[j:end_b]} for i, end_a, j, end_b in aligner.slices(a, b)
+                ]
                 links = [{"a": p, "b": q} for p, q in aligner.links(a, b)]
                 row = {"doc_id": number, "a_ids": a, "b_ids": b, "groups": groups, "links": links}
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
@@ -297,7 +313,7 @@ class _Block:
     def add(self, doc_id: int | None, aligner: Aligner, text: bytes | None) -> None:
         a, b = aligner.tokens(text)
         n_groups, codes, hashed = aligner.digest(a, b)
-        found, times = np.unique(np.array(codes, np.int64), return_counts=True)
+        found, times = np.unique(codes, return_counts=True)
         self.rows.append((doc_id, len(a), len(b), n_groups, len(codes), hashed, len(found)))
         self.codes.append(found)
         self.times.append(times.astype(np.uint32))
