@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 A text is encoded by a byte-level BPE (A, of space and text) and by a piece model (B, which
-adds the space itself). A dictionary leads from the byte offset where a token ends to the number
+adds the space itself). Dictionaries lead from the byte offset where a token ends to the number
 of tokens up to there; the offsets in both, in order, slice both lists of ids into groups, and
 within each group the tokens whose byte ranges overlap are linked.
 
@@ -22,7 +22,6 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -159,15 +158,19 @@ class Aligner:
         return found
 
     def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of A and of B up to the end of each group.
+        """Tokens of A and of B up to the end of each group: the common keys, in order.
 
-        B's ends lead to their numbers of tokens; A's, which ascend, are looked up in order.
+        Keys are offsets within the text, so the dictionaries are arrays over it, zero where
+        no token ends.
         """
-        ends_a, ends_b = np.cumsum(self._long[0][a]), np.cumsum(self._long[1][b])
-        at_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1), strict=True))
-        found = np.fromiter(map(at_b.get, ends_a.tolist(), repeat(0)), np.int64, len(a))
-        common = np.flatnonzero(found)
-        return common + 1, found[common]
+        long_a, long_b = self._long
+        ends_a, ends_b = np.cumsum(long_a[a]), np.cumsum(long_b[b])
+        size = int(max(ends_a[-1:].sum(), ends_b[-1:].sum())) + 1
+        at_a, at_b = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        at_a[ends_a] = np.arange(1, len(a) + 1)
+        at_b[ends_b] = np.arange(1, len(b) + 1)
+        common = np.flatnonzero((at_a > 0) & (at_b > 0))
+        return at_a[common], at_b[common]
 
     def slices(self, a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
         """The first token and the one after the last, of A and of B, of each group."""
