@@ -25,10 +25,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendlens.llm.packing import packed, unpacked
 from lendlens.llm.scratch import written
 
 FILE_A = "/opt/tokenizers/byte_bpe_50k.json"
@@ -293,17 +293,6 @@ def aligned(
     return _read(docs, doc_id, text).mapInArrow(made, GROUPS)
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Small numbers as compressed planes of their bytes."""
-    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpacked(data: bytes, count: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, count).T).view("<u4").ravel()
-
-
 class _Block:
     """Documents of one task, until they hold enough pairs."""
 
@@ -326,7 +315,7 @@ class _Block:
         pairs, place = np.unique(np.concatenate(self.codes), return_inverse=True)
         n_docs = np.bincount(place, minlength=len(pairs))
         steps = np.diff(place, prepend=0).astype(np.int64) & 0xFFFFFFFF
-        packed = _packed(np.concatenate([steps, np.concatenate(self.times)]))
+        both = packed(np.concatenate([steps, np.concatenate(self.times)]))
         kinds = [pa.int64()] * 5 + [pa.string(), pa.int64()]
         columns = zip(kinds, zip(*self.rows, strict=True), strict=True)
         lists = [pa.array([column], pa.list_(kind)) for kind, column in columns]
@@ -334,7 +323,7 @@ class _Block:
             [
                 pa.array([block], pa.int64()),
                 *lists,
-                pa.array([packed], pa.binary()),
+                pa.array([both], pa.binary()),
                 pa.array([pairs], pa.list_(pa.int64())),
                 pa.array([n_docs], pa.list_(pa.int64())),
             ],
@@ -370,7 +359,7 @@ def _summed(block: pa.Table, counts: pa.Table) -> pa.Table:
     best[at] = counts.column("best").to_numpy(zero_copy_only=False)
     n_pairs = lists["n_pairs"].to_numpy()
     total = int(n_pairs.sum())
-    numbers = _unpacked(block.column("packed")[0].as_py(), 2 * total)
+    numbers = unpacked(block.column("packed")[0].as_py())
     place = np.cumsum(numbers[:total].view(np.int32), dtype=np.int64)
     times = numbers[total:].astype(np.int64)
     edges = np.concatenate([[0], np.cumsum(n_pairs)])

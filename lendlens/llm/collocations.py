@@ -8,12 +8,13 @@ that end with it; and in the same way the counts of all shorter grams follow lev
 without another pass over texts. A node whose whole flow comes by one edge, or leaves by one,
 lies on a unary path and is compacted into that edge: as a phrase of its own it says nothing more.
 
-Only what can be part of a phrase counted `LEAST` times needs to be in the graph. Two passes
-before it count words and neighbouring words as 64-bit keys; texts are then also cut between
-neighbours counted less often, and rarer words are left out. The keys that are often enough are
-sent to all tasks as one bit each of a mask of fixed size. Keys that share a bit, or agree, only
-keep a cut from being made, so counts do not depend on them; phrases themselves are counted as
-text.
+Only what can be part of a phrase counted `LEAST` times needs to be in the graph. Passes before it
+count words, pairs and triples of them, each among those whose parts are often enough; a word's
+longest gram then also ends before a pair or triple counted less often, and rarer words start
+none. These passes count 32-bit keys, which tasks send as packed lists by range of keys, and the
+keys that are often enough are sent to all tasks as one bit each of a mask of fixed size. Keys
+that agree, or share a bit, only make a gram longer than it need be, so counts do not depend on
+them; phrases themselves are counted as text.
 
 Defined results: NULL and empty texts have no words, a NULL language is `und`. Repeated rows
 count as often as they are there; doc_id and other columns are not looked at. Scores are whole
@@ -25,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendlens.llm.packing import packed, unpacked
 from lendlens.llm.scratch import written
 from lendlens.llm.shingles import mixed, runs, span_hashes
 
@@ -45,7 +47,13 @@ UNKNOWN = "und"
 #: The first places of a language are chosen in so many parts, then among those.
 PARTS = 256
 
-KEYS = "key long, n long"
+#: Passes that tell what can be part of a phrase: words, pairs, triples.
+PASSES = 3
+#: Keys have so many bits; those that agree in the upper ones are counted in one task.
+KEY_BITS, RANGE_BITS = 32, 20
+
+LISTS = "part int, listed binary"
+KEYS = "key long"
 GRAMS = "lang string, k int, gram string, n long"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -86,9 +94,19 @@ class Chunk:
         seeds = np.array([seed(lang) for lang in langs], np.uint64)
         self.keys = mixed(span_hashes(data, self.starts, self.ends) + seeds[self.text])
 
-    def pairs(self, at: np.ndarray) -> np.ndarray:
-        """The keys of the words at `at` with the next ones."""
-        return mixed(self.keys[at] * _BASE + self.keys[at + 1])
+    def grams(self, at: np.ndarray, long: np.ndarray | int) -> np.ndarray:
+        """The keys of the grams of some words, `long` each, that start at `at`."""
+        long = np.broadcast_to(long, at.shape)
+        made = self.keys[at].copy()
+        for step in range(1, int(long.max(initial=1))):
+            more = np.flatnonzero(long > step)
+            made[more] = made[more] * _BASE + self.keys[at[more] + step]
+        return mixed(made + long.astype(np.uint64))
+
+
+def short(keys: np.ndarray) -> np.ndarray:
+    """The bits of keys that are counted."""
+    return keys >> np.uint64(64 - KEY_BITS)
 
 
 def seed(lang: str) -> int:
@@ -139,70 +157,121 @@ class Mask:
         self._sent: Broadcast = keys.sparkSession.sparkContext.broadcast(made)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & np.uint64(self.low)
+        at = short(keys) & np.uint64(self.low)
         return (self._sent.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
 
 
-def _tally(keys_of: Callable[[Chunk], np.ndarray], sizes: Sizes):
-    """Counts of keys, summed within blocks."""
+def _candidates(chunk: Chunk, masks: list[Mask]) -> list[np.ndarray]:
+    """For 1, 2, ... words: whether the gram at a word may be frequent by all its parts.
+
+    The last one, of a word more than there are masks, is told by its parts alone.
+    """
+    found = [np.ones(len(chunk.keys), bool)]
+    for words, mask in enumerate(masks, 1):
+        at = np.flatnonzero(found[-1])
+        found[-1][at] = mask.holds(chunk.grams(at, words))
+        longer = np.zeros(len(chunk.keys), bool)
+        longer[:-1] = found[-1][:-1] & found[-1][1:]
+        if words == 1:
+            longer[:-1] &= chunk.joined
+        found.append(longer)
+    return found
+
+
+def _lists(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Keys and how often each is there, packed by range of keys."""
+    found, counts = np.unique(keys, return_counts=True)
+    parts = found >> np.uint64(RANGE_BITS)
+    edges = np.flatnonzero(np.diff(parts, prepend=-1).astype(bool)).tolist()
+    names, lists = [], []
+    for start, end in zip(edges, [*edges[1:], len(found)], strict=True):
+        steps = np.diff(found[start:end] & np.uint64(2**RANGE_BITS - 1), prepend=np.uint64(0))
+        names.append(int(parts[start]))
+        lists.append(packed(np.concatenate([steps, counts[start:end].astype(np.uint64)])))
+    columns = [pa.array(names, pa.int32()), pa.array(lists, pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, names=["part", "listed"])
+
+
+def _tally(masks: list[Mask], sizes: Sizes):
+    """Lists of the keys of the grams that may be frequent, by blocks."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flushed() -> Iterator[pa.RecordBatch]:
-            keys, counts = np.unique(np.concatenate(found), return_counts=True)
-            table = pa.table({"key": keys.view(np.int64), "n": counts})
-            yield from table.to_batches(max_chunksize=1 << 18)
-
         found, size = [], 0
         for chunk in _chunks(batches, sizes.chunk_bytes):
-            found.append(keys_of(chunk))
-            size += len(found[-1])
+            at = np.flatnonzero(_candidates(chunk, masks)[-1])
+            keys = chunk.grams(at, len(masks) + 1)
+            found.append(short(keys))
+            size += len(at)
             if size >= sizes.block_keys:
-                yield from flushed()
+                yield from _lists(np.concatenate(found))
                 found, size = [], 0
         if size:
-            yield from flushed()
+            yield from _lists(np.concatenate(found))
 
     return made
 
 
-def _frequent(
-    texts: DataFrame, keys_of: Callable[[Chunk], np.ndarray], least: int, sizes: Sizes
-) -> Mask:
-    found = texts.mapInArrow(_tally(keys_of, sizes), KEYS)
-    counts = found.groupBy("key").agg(F.sum("n").alias("n"))
-    return Mask(counts.filter(F.col("n") >= least).select("key"), sizes.mask_bits)
+def _often(least: int):
+    """Keys counted at least `least` times, from lists in the order of their ranges."""
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, current, seen, size = np.zeros(2**RANGE_BITS, np.int64), None, [], 0
+
+        def frequent() -> pa.RecordBatch:
+            """The keys of the range that ends, whose counts are set back."""
+            few = size < 2**RANGE_BITS
+            at = np.unique(np.concatenate(seen)) if few else np.arange(2**RANGE_BITS)
+            often = at[counts[at] >= least]
+            counts[at] = 0
+            return pa.RecordBatch.from_arrays(
+                [pa.array((current << RANGE_BITS) + often)], names=["key"]
+            )
 
-def _neighbours(chunk: Chunk, words: Mask) -> np.ndarray:
-    """Positions of words that may be frequent and stand before such a one."""
-    frequent = words.holds(chunk.keys)
-    return np.flatnonzero(chunk.joined & frequent[:-1] & frequent[1:])
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True)
+            for part, listed in rows:
+                if part != current:
+                    if seen:
+                        yield frequent()
+                    current, seen, size = part, [], 0
+                steps, times = np.split(unpacked(listed), 2)
+                at = np.cumsum(steps, dtype=np.int64)
+                counts[at] += times
+                if size < 2**RANGE_BITS:
+                    seen.append(at)
+                size += len(at)
+        if seen:
+            yield frequent()
+
+    return made
+
+
+def _frequent(texts: DataFrame, masks: list[Mask], least: int, sizes: Sizes) -> Mask:
+    lists = texts.mapInArrow(_tally(masks, sizes), LISTS)
+    in_order = lists.repartition("part").sortWithinPartitions("part")
+    return Mask(in_order.mapInArrow(_often(least), KEYS), sizes.mask_bits)
 
 
 class _Grams:
     """The longest grams that start in some chunks."""
 
-    def __init__(self, words: Mask, pairs: Mask, longest: int):
-        self.words, self.pairs, self.longest = words, pairs, longest
+    def __init__(self, masks: list[Mask], longest: int):
+        self.masks, self.longest = masks, longest
         self.chunks: list[tuple[Chunk, np.ndarray, np.ndarray]] = []
         self.keys: list[np.ndarray] = []
         self.size = 0
 
     def add(self, chunk: Chunk) -> None:
-        count = len(chunk.keys)
-        linked = np.zeros(count, bool)
-        near = _neighbours(chunk, self.words)
-        linked[near[self.pairs.holds(chunk.pairs(near))]] = True
-        last = np.flatnonzero(~linked)  # of each run of words that are not cut
-        place = np.arange(count)
-        left = last[np.searchsorted(last, place)] - place + 1
-        at = np.flatnonzero(self.words.holds(chunk.keys))
-        long = np.minimum(left[at], self.longest)
-        made = chunk.keys[at].copy()
-        for step in range(1, self.longest):
-            more = np.flatnonzero(long > step)
-            made[more] = made[more] * _BASE + chunk.keys[at[more] + step]
-        self.keys.append(mixed(made + long.astype(np.uint64)))
+        found = _candidates(chunk, self.masks)
+        at = np.flatnonzero(found[0])
+        long = sum(own[at].astype(np.int64) for own in found)
+        place = found[-1]
+        for _ in range(len(found), self.longest):
+            # Of two grams one word apart that may be frequent, one a word longer.
+            place = place & np.append(place[1:], False)
+            long += place[at]
+        long = np.minimum(long, self.longest)
+        self.keys.append(chunk.grams(at, long))
         self.chunks.append((chunk, at.astype(np.int32), long.astype(np.int8)))
         self.size += len(chunk.buffer)
 
@@ -231,12 +300,12 @@ class _Grams:
         yield from table.to_batches(max_chunksize=1 << 16)
 
 
-def _longest(words: Mask, pairs: Mask, longest: int, sizes: Sizes):
+def _longest(masks: list[Mask], longest: int, sizes: Sizes):
     """Longest grams of blocks, and all words of a language as a gram of none."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Counter = Counter()
-        grams = _Grams(words, pairs, longest)
+        grams = _Grams(masks, longest)
         for chunk in _chunks(batches, sizes.chunk_bytes):
             counts = np.bincount(chunk.text, minlength=len(chunk.langs)).tolist()
             for lang, n in zip(chunk.langs, counts, strict=True):
@@ -244,7 +313,7 @@ def _longest(words: Mask, pairs: Mask, longest: int, sizes: Sizes):
             grams.add(chunk)
             if grams.size >= sizes.block_bytes:
                 yield from grams.batches()
-                grams = _Grams(words, pairs, longest)
+                grams = _Grams(masks, longest)
         if grams.size:
             yield from grams.batches()
         if totals:
@@ -274,11 +343,10 @@ def longest_grams(
     texts = docs.select(
         F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
     )
-    words = _frequent(texts, lambda chunk: chunk.keys, least, sizes)
-    pairs = _frequent(
-        texts, lambda chunk: chunk.pairs(_neighbours(chunk, words)), least, sizes
-    )
-    grams = texts.mapInArrow(_longest(words, pairs, longest, sizes), GRAMS)
+    masks: list[Mask] = []
+    for _ in range(min(PASSES, longest)):
+        masks = [*masks, _frequent(texts, masks, least, sizes)]
+    grams = texts.mapInArrow(_longest(masks, longest, sizes), GRAMS)
     return grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
 
