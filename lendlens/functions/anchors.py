@@ -6,9 +6,11 @@ so filters on it reach the scan; given a column it is computed per row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta, timezone, tzinfo
 from functools import cached_property
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,16 +29,55 @@ class Period:
         return value.between(self.start, self.end)
 
 
+#: A day, maybe a time, and maybe a zone after it.
+_INSTANT_TEXT = re.compile(
+    r"(\d{4})-(\d{1,2})-(\d{1,2})"
+    r"(?:(?:T|\s+)(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,9}))?)?)?"
+    r"\s*(\S.*)?"
+)
+_OFFSET = re.compile(r"(?:UTC|GMT|UT)?([+-])(\d{1,2})(?::?(\d{2})(?::?(\d{2}))?)?", re.I)
+
+
+def zone_of(name: str) -> tzinfo:
+    """A zone by its name in the time zone database, or by its offset from UTC.
+
+    Abbreviations that the database lacks, as they stand for several zones, are an error.
+    """
+    if name.upper() in ("Z", "UTC", "GMT", "UT"):
+        return UTC
+    offset = _OFFSET.fullmatch(name)
+    if offset:
+        sign, *parts = offset.groups()
+        hours, minutes, seconds = (int(part or 0) for part in parts)
+        if hours > 18 or minutes > 59 or seconds > 59:
+            raise ValueError(f"no offset from UTC: {name!r}")
+        ahead = timedelta(hours=hours, minutes=minutes, seconds=seconds)
+        return timezone(ahead if sign == "+" else -ahead)
+    try:
+        return ZoneInfo(name)
+    except (ZoneInfoNotFoundError, ValueError, OSError) as error:
+        raise ValueError(f"no time zone of the database or offset: {name!r}") from error
+
+
+def parsed_instant(text: str) -> datetime:
+    """An instant's text as a datetime, with a zone if the text names one.
+
+    A clock time that a zone's change skips or repeats is taken as before the change. Text
+    that is not understood as a whole is an error.
+    """
+    found = _INSTANT_TEXT.fullmatch(text.strip())
+    if not found:
+        raise ValueError(f"not an instant: {text!r}")
+    *numbers, fraction, zone = found.groups()
+    micros = int(((fraction or "") + "0" * 6)[:6])
+    clock = datetime(*(int(number or 0) for number in numbers), micros)
+    return clock if zone is None else clock.replace(tzinfo=zone_of(zone))
+
+
 def _in_utc(instant: datetime | str) -> str:
-    """An instant's time in UTC as text; text that is not ISO is left to Spark."""
+    """An instant's time in UTC as text."""
     if isinstance(instant, str):
-        try:
-            parsed = datetime.fromisoformat(instant.strip())
-        except ValueError:
-            return instant
-        if parsed.tzinfo is None:
-            return instant
-        instant = parsed
+        instant = parsed_instant(instant)
     if instant.tzinfo is not None:
         instant = instant.astimezone(UTC).replace(tzinfo=None)
     return str(instant)

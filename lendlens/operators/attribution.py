@@ -17,9 +17,18 @@ from lendlens.functions import classify
 from lendlens.functions.anchors import PeriodAnchors
 from lendlens.operators import filters
 from lendlens.operators.aggregates import AMOUNTS, MEASURES, measure_terms
-from lendlens.operators.range_sums import MICROS_PER_HOUR, sums_after, sums_before, tick_of
+from lendlens.operators.range_sums import (
+    COPIES,
+    MICROS_PER_HOUR,
+    summed_kind,
+    sums_after,
+    sums_before,
+    tick_of,
+    tick_sql,
+)
 
 SLACK = k.SLACK_HOURS * MICROS_PER_HOUR
+AT = tick_sql("date_created")
 USER, SOURCE = "user_id_ref", "attribution_id"
 
 # Besides the six measures, joined rows and, for amounts, rows whose amount is unknown.
@@ -41,8 +50,9 @@ def _earlier_matches(
         (F.lit(1).cast("long") if weight is None else F.col(weight)).alias(name),
     )
     ahead = rows.withColumn("tick", tick_of("date_created") + SLACK)
-    points = ahead.select(key, "tick").distinct()
-    counted = sums_before(events, points, key, [name], [(earlier, key), (rows, key)])
+    points = ahead.select(key, "tick")
+    sampled = [(earlier, key, AT), (rows, key, f"{AT} + {SLACK}")]
+    counted = sums_before(events, points, key, [name], sampled)
     return ahead.join(counted, [key, "tick"]).select(*rows.columns, name)
 
 
@@ -103,47 +113,34 @@ def channel_measures(
     )
     applied = apps.select(
         USER,
-        tick_of("date_created").alias("tick"),
+        F.expr(f"{AT} as tick"),
         *(term.alias(name) for name, term in terms.items()),
-        *(terms[name].isNull().cast("long").alias(flag) for name, flag in UNKNOWN.items()),
         F.lit(1).cast("long").alias("joined_rows"),
     )
-    copies = F.count(F.lit(1)).alias("copies")
-    visits = (
-        history.select(USER, SOURCE, tick_of("date_created").alias("visited"))
-        .groupBy(USER, SOURCE, "visited")
-        .agg(copies)
-        .withColumn("tick", F.col("visited") - SLACK)
-    )
+    kinds = {field.name: summed_kind(field.dataType) for field in applied.schema}
+    unknown = [f"cast({name} is null as bigint) as {flag}" for name, flag in UNKNOWN.items()]
+    applied = applied.selectExpr("*", *unknown)
+    visits = history.selectExpr(USER, SOURCE, f"{AT} as visited", f"{AT} - {SLACK} as tick")
+    sampled = [(apps, USER, AT), (history, USER, f"{AT} - {SLACK}")]
     visited = (
-        sums_after(applied, visits, USER, CARRIED, [(apps, USER), (history, USER)])
-        .filter("joined_rows > 0")
-        .select(
-            SOURCE,
-            F.col("visited").alias("tick"),
-            *((F.col(name) * F.col("copies")).alias(name) for name in CARRIED),
+        sums_after(applied, visits, USER, CARRIED, sampled)
+        .where("joined_rows > 0")
+        .selectExpr(
+            SOURCE, "visited as tick", *(f"{name} * {COPIES} as {name}" for name in CARRIED)
         )
     )
-    installed = (
-        installs.select(
-            SOURCE,
-            classify.campaign_type().alias("campaign_type"),
-            (tick_of("date_created") - SLACK).alias("tick"),
-        )
-        .groupBy(SOURCE, "campaign_type", "tick")
-        .agg(copies)
+    installed = installs.select(
+        SOURCE, classify.campaign_type().alias("campaign_type"), F.expr(f"{AT} - {SLACK} as tick")
     )
-    counted = [(history, SOURCE), (installs, SOURCE)]
+    sampled = [(history, SOURCE, AT), (installs, SOURCE, f"{AT} - {SLACK}")]
     totals = (
-        sums_after(visited, installed, SOURCE, CARRIED, counted)
-        .filter("joined_rows > 0")
+        sums_after(visited, installed, SOURCE, CARRIED, sampled)
+        .where("joined_rows > 0")
         .groupBy("campaign_type")
-        .agg(*(F.sum(F.col(name) * F.col("copies")).alias(name) for name in CARRIED))
+        .agg(*(F.expr(f"sum({name} * {COPIES}) as {name}") for name in CARRIED))
     )
     # A sum of nothing but unknown amounts is unknown, not zero; amounts have the type of
     # their sum over applications.
-    plain = apps.agg(*(F.sum(terms[name]).alias(name) for name in MEASURES))
-    kinds = {field.name: field.dataType.simpleString() for field in plain.schema}
     known = {
         name: f"case when {flag} < joined_rows then {name} end" for name, flag in UNKNOWN.items()
     }

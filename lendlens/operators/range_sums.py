@@ -1,16 +1,22 @@
 """Sums over range joins, without forming the pairs.
 
-``sums_before`` and ``sums_after`` give every probe row the sum of each measure over
-the events of its key on one side of its tick: what grouping an equi-plus-inequality
-join by its probe would give, at a cost linear in events and probes.
-
-Events and probes of a key meet in one shuffle, and a running sum answers the probes.
-Events of one key and tick are combined first, map-side where they can be. A key with more
-than ``TASK_ROWS`` rows does not meet in one task but in one per slice of time: the totals
-of its slices are carried on from slice to slice, and every slice starts from what was
-carried in. Which keys are split is found within the same lazy plan. There is at most
-one such key per ``TASK_ROWS`` rows, so their list may be broadcast. Splitting changes
-no result; sums have the type of Spark's ``sum`` and are rounded nowhere.
+``sums_before`` and ``sums_after`` give every distinct probe row the sum of each measure over
+the events of its key on one side of its tick, and the number of its copies: what grouping
+an equi-plus-inequality join by its probe would give, at a cost linear in events and probes.
+
+Events and probes of a key meet in one task, and a running sum answers the probes. Rows that
+are equal but for their measures are combined first, map-side where they can be. A key whose
+rows have more ticks than one task should take is cut along its time axis into slices of
+nearly as many ticks each, wherever on the axis these lie. An event of such a key also goes,
+as a total, to the edge of every slice that it comes before; those copies are combined
+map-side too, so that few of them travel. So every input is read and exchanged once, whether
+or not keys are cut.
+
+Cuts come from a sample of the keys' ticks, drawn by hash within the same lazy plan. At most
+one tick in ``SAMPLE`` distinct ones is drawn, and keys with fewer than ``PER_SLICE`` draws
+need no cut, so the cuts may be broadcast: at most one value per two million rows. The sample
+only decides where rows meet; sums have the type of Spark's ``sum`` and are rounded nowhere.
+Decimal and whole sums are the same under any cuts; doubles are added in another order.
 """
 
 from __future__ import annotations
@@ -24,16 +30,25 @@ from pyspark.sql import types as T
 
 MICROS_PER_HOUR = 3_600_000_000
 
-# Rows of one key that meet in one task, and the time that a task takes of a larger key.
-TASK_ROWS = 2_000_000
-SLICE = MICROS_PER_HOUR
+# One distinct tick of so many is drawn; a slice has so many draws, about two million ticks.
+SAMPLE = 125_000
+PER_SLICE = 16
+# A key has at most so many slices; beyond about a thousand million ticks they grow.
+MOST_SLICES = 512
 
-Counted = Sequence[tuple[DataFrame, str]]
+COPIES = "copies"
 
+#: Tables that hold all rows of a key, with their key columns and their ticks as SQL.
+Sampled = Sequence[tuple[DataFrame, str, str]]
 
-def tick_of(column: str) -> Column:
+
+def tick_sql(column: str) -> str:
     """Microseconds since the epoch, UTC."""
-    return F.unix_micros(F.col(column).cast("timestamp"))
+    return f"unix_micros(cast({column} as timestamp))"
+
+
+def tick_of(column: str) -> Column:
+    return F.expr(tick_sql(column))
 
 
 def sums_before(
@@ -41,10 +56,10 @@ def sums_before(
     probes: DataFrame,
     key: str,
     measures: Sequence[str],
-    counted: Counted | None = None,
+    sampled: Sampled | None = None,
 ) -> DataFrame:
-    """Probe rows with the sums over strictly earlier events."""
-    return _sums(events, probes, key, measures, counted, later=False)
+    """Distinct probe rows with the sums over strictly earlier events, and ``copies``."""
+    return _sums(events, probes, key, measures, sampled, later=False)
 
 
 def sums_after(
@@ -52,10 +67,10 @@ def sums_after(
     probes: DataFrame,
     key: str,
     measures: Sequence[str],
-    counted: Counted | None = None,
+    sampled: Sampled | None = None,
 ) -> DataFrame:
-    """Probe rows with the sums over strictly later events."""
-    return _sums(events, probes, key, measures, counted, later=True)
+    """Distinct probe rows with the sums over strictly later events, and ``copies``."""
+    return _sums(events, probes, key, measures, sampled, later=True)
 
 
 def summed_type(kind: T.DataType) -> str:
@@ -65,12 +80,49 @@ def summed_type(kind: T.DataType) -> str:
     return "double" if isinstance(kind, (T.DoubleType, T.FloatType)) else "bigint"
 
 
-def _large_keys(counted: Counted) -> DataFrame:
-    """``large_key``: keys with more than ``TASK_ROWS`` rows in the tables together."""
-    columns = [table.select(F.col(key).alias("large_key")) for table, key in counted]
-    rows = reduce(DataFrame.unionAll, columns).filter("large_key is not null")
-    counts = rows.groupBy("large_key").agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") > TASK_ROWS).select("large_key")
+def summed_kind(kind: T.DataType) -> str:
+    """The type of Spark's ``sum`` of a column."""
+    if isinstance(kind, T.DecimalType):
+        return f"decimal({min(38, kind.precision + 10)},{kind.scale})"
+    return summed_type(kind)
+
+
+def cut_points(sampled: Sampled) -> DataFrame:
+    """``cut_key`` and ``cuts``, the ticks at which its slices but the first begin."""
+    drawn = [table.selectExpr(f"{key} as cut_key", f"{tick} as tick") for table, key, tick in sampled]
+    keys = (
+        reduce(DataFrame.unionAll, drawn)
+        .where(
+            "cut_key is not null and tick is not null "
+            f"and pmod(xxhash64(cut_key, tick), {SAMPLE}) = 0"
+        )
+        .groupBy("cut_key")
+        .agg(F.expr("sort_array(collect_set(tick)) as ticks"))
+    )
+    step = f"greatest({PER_SLICE}, cast(ceil(size(ticks) / {MOST_SLICES}) as int))"
+    cuts = f"transform(sequence({step}, size(ticks) - 1, {step}), i -> ticks[i]) as cuts"
+    return keys.where(f"size(ticks) > {step}").selectExpr("cut_key", cuts)
+
+
+def _places(later: bool) -> str:
+    """Where a row goes: to its slice, and an event to the edges of those it comes before."""
+    at = "size(filter(cuts, cut -> cut <= tick))"
+    if later:
+        any_passed, passed = f"{at} > 0", f"sequence(0, {at} - 1)"
+        edge = "cuts[s]"  # after the last tick of the slice
+    else:
+        any_passed, passed = f"{at} < size(cuts)", f"sequence({at} + 1, size(cuts))"
+        edge = "cuts[s - 1] - 1"  # before its first tick
+
+    def place(number: str, tick: str) -> str:
+        return f"named_struct('slice', {number}, 'tick', {tick})"
+
+    return (
+        f"case when cuts is null then array({place('0', 'tick')}) "
+        f"when probed is null and {any_passed} then concat(array({place(at, 'tick')}), "
+        f"transform({passed}, s -> {place('s', edge)})) "
+        f"else array({place(at, 'tick')}) end"
+    )
 
 
 def _sums(
@@ -78,58 +130,36 @@ def _sums(
     probes: DataFrame,
     key: str,
     measures: Sequence[str],
-    counted: Counted | None,
+    sampled: Sampled | None,
     later: bool,
 ) -> DataFrame:
     """``events`` has key, tick and the measures; ``probes`` key, tick and more.
 
-    Probes without key or tick match nothing and are left out. ``counted`` names the
-    tables and key columns that bound the rows of a key, by default events and probes.
+    Probes without key or tick match nothing and are left out. ``sampled`` names tables whose
+    rows bound those of a key, by default events and probes.
     """
     types = {f.name: summed_type(f.dataType) for f in events.schema if f.name in measures}
     matchable = f"{key} is not null and tick is not null"
-    large = F.broadcast(_large_keys(counted or [(events, key), (probes, key)]))
-
-    def sliced(rows: DataFrame) -> DataFrame:
-        """With the slice of a row whose key is split."""
-        found = rows.filter(matchable).join(large, F.col(key).eqNullSafe(F.col("large_key")), "left")
-        slice_of = F.when(F.col("large_key").isNotNull(), F.floor(F.col("tick") / SLICE))
-        return found.withColumn("slice", slice_of).drop("large_key")
-
-    totals = [F.expr(f"cast(sum({name}) as {kind}) as {name}") for name, kind in types.items()]
-    all_events = sliced(events.groupBy(key, "tick").agg(*totals))
-    all_probes = sliced(probes).withColumn("probed", F.lit(1))
-    order = f"order by slice {'desc' if later else 'asc'}"
-    passed = f"over (partition by {key} {order} rows between unbounded preceding and 1 preceding)"
-    # Before the first, or after the last, tick of its slice.
-    edge = f"(slice + 1) * {SLICE}" if later else f"slice * {SLICE} - 1"
-    carried = (
-        all_events.drop("tick")
-        .unionByName(all_probes.select(key, "slice"), allowMissingColumns=True)
-        .filter("slice is not null")
-        .groupBy(key, "slice")
-        .agg(*totals)
-        .selectExpr(
-            key,
-            "slice",
-            f"{edge} as tick",
-            *(f"cast(sum({name}) {passed} as {kind}) as {name}" for name, kind in types.items()),
-        )
-    )
-    rows = all_probes.unionByName(all_events, allowMissingColumns=True).unionByName(
-        carried, allowMissingColumns=True
+    cuts = F.broadcast(cut_points(sampled or [(events, key, "tick"), (probes, key, "tick")]))
+    rows = probes.withColumn("probed", F.lit(1)).unionByName(
+        events.select(key, "tick", *measures), allowMissingColumns=True
     )
-    order = f"order by tick {'desc' if later else 'asc'}"
-    passed = (
-        f"over (partition by {key}, slice {order} range between unbounded preceding and 1 preceding)"
+    rows = rows.where(matchable).join(cuts, F.col(key) == F.col("cut_key"), "left")
+    shown = [name for name in probes.columns if name != "tick"]
+    placed = rows.selectExpr("probed", *shown, *measures, f"explode({_places(later)}) as at")
+    combined = placed.groupBy("probed", *shown, "at").agg(
+        F.expr(f"count(1) as {COPIES}"),
+        *(F.expr(f"cast(sum({name}) as {kind}) as {name}") for name, kind in types.items()),
     )
+    order = f"order by at.tick {'desc' if later else 'asc'}"
+    passed = f"over (partition by {key}, at.slice {order} range between unbounded preceding and 1 preceding)"
     answers = (
         f"cast(coalesce(sum({name}) {passed}, 0) as {kind}) as {name}"
         for name, kind in types.items()
     )
     # The filter on the mark is not pushed below the window, whose rows it needs.
     return (
-        rows.selectExpr("probed", *probes.columns, *answers)
-        .filter("probed = 1")
-        .select(*probes.columns, *measures)
+        combined.selectExpr("probed", *shown, "at.tick as tick", COPIES, *answers)
+        .where("probed = 1")
+        .selectExpr(*probes.columns, *measures, COPIES)
     )

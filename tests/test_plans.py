@@ -1,14 +1,15 @@
 """What the optimizer makes of the reports over stored tables."""
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lendlens.functions.anchors import PeriodAnchors
 from lendlens.operators import range_sums, tags
-from lendlens.operators.range_sums import sums_before
+from lendlens.operators.range_sums import sums_after, sums_before
 from lendlens.plans.reports import REPORTS, report, reports
 from lendlens.sources.sample import sample
 from lendlens.sources.schemas import Layout
@@ -194,17 +195,42 @@ def test_tag_join_splits_a_hot_application(spark, small_skew_limits):
     assert "skew=true" in plan(by_copies).split("Initial Plan")[0]
 
 
-def test_a_hot_key_is_split(spark, small_skew_limits, monkeypatch):
-    """A third of events and probes on one key, a third of those on one tick."""
-    monkeypatch.setattr(range_sums, "TASK_ROWS", 1000)
-    monkeypatch.setattr(range_sums, "SLICE", 1000)
-    events = spark.range(100_000).selectExpr("if(id % 3 = 0, 7, id % 1000) as key", "id as tick", "1 as n")
-    probes = spark.range(200_000).selectExpr("if(id % 3 = 0, 7, id % 1000) as key", "id as tick")
-    summed = sums_before(events, probes, "key", ["n"]).groupBy((F.col("key") == 7).alias("hot"))
-    found = {r.hot: (r.rows, r.total) for r in summed.agg(
-        F.count("*").alias("rows"), F.sum("n").alias("total")
-    ).collect()}
-    assert sum(rows for rows, _ in found.values()) == 200_000
-    ahead = [t for t in range(200_000) if t % 3 == 0 or t % 1000 == 7]
-    of_key = [t for t in range(100_000) if t % 3 == 0 or t % 1000 == 7]
-    assert found[True] == (len(ahead), sum(bisect_left(of_key, t) for t in ahead))
+def busy_hour(spark, size):
+    """A third of the rows on one key, all within an hour, half of them at few instants."""
+    tick = "if(id % 6 = 0, id % 50, id * 3600000000 div 100000)"
+    return spark.range(size).selectExpr("if(id % 3 = 0, 7, id % 1000) as key", f"{tick} as tick")
+
+
+@pytest.fixture
+def small_slices(monkeypatch):
+    monkeypatch.setattr(range_sums, "SAMPLE", 50)
+    monkeypatch.setattr(range_sums, "PER_SLICE", 8)
+
+
+@pytest.mark.parametrize("sums, later", [(sums_before, False), (sums_after, True)])
+def test_a_hot_key_is_spread_over_tasks(spark, small_slices, sums, later):
+    """Slices hold nearly as many ticks each, although all lie within an hour."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        events, probes = (busy_hour(spark, n) for n in (60_000, 90_000))
+        summed = sums(events.withColumn("n", F.lit(1)), probes, "key", ["n"])
+        rows = summed.filter("key = 7").select("tick", "n", "copies", F.spark_partition_id())
+        rows = rows.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    of_key = [sorted(r.tick for r in df.filter("key = 7").collect()) for df in (events, probes)]
+    assert Counter({tick: copies for tick, _, copies, _ in rows}) == Counter(of_key[1])
+    for tick, n, _, _ in rows:
+        ahead = bisect_left(of_key[0], tick)
+        assert n == (len(of_key[0]) - bisect_right(of_key[0], tick) if later else ahead)
+    per_task = Counter(task for *_, task in rows)
+    assert len(per_task) > 20 and max(per_task.values()) < len(rows) / 5
+
+
+def test_channels_read_and_exchange_each_input_once(spark, stored):
+    """Three scans, two for the cuts of each key; two exchanges for each key."""
+    text = plan(report(Sources.from_parquet(spark, stored), "rpt_channel_starts", AS_OF))
+    assert text.count("FileScan parquet") == 7
+    assert len(re.findall(r"Window \[", text)) == 2

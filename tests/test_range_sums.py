@@ -14,7 +14,7 @@ from lendlens.plans.reports import REPORTS, report
 from tests.conftest import AS_OF, Made
 
 MEASURES = ["n", "amount"]
-EVERY_KEY, NO_KEY = 0, 10**9
+EVERY_TICK, NO_KEY = 1, 10**9
 MINUTE = 60_000_000
 
 
@@ -29,11 +29,11 @@ def rows(seed, size):
     return out
 
 
-@pytest.fixture(params=[EVERY_KEY, 5, NO_KEY])
+@pytest.fixture(params=[EVERY_TICK, 5, NO_KEY])
 def split(request, monkeypatch):
-    """Which keys are split: all, those with a few rows, none."""
-    monkeypatch.setattr(range_sums, "TASK_ROWS", request.param)
-    monkeypatch.setattr(range_sums, "SLICE", MINUTE)
+    """How keys are cut: before every tick but the first, after a few of them, not at all."""
+    monkeypatch.setattr(range_sums, "SAMPLE", 1)
+    monkeypatch.setattr(range_sums, "PER_SLICE", request.param)
 
 
 @pytest.mark.parametrize("sums, later", [(sums_before, False), (sums_after, True)])

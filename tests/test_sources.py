@@ -1,4 +1,5 @@
 from datetime import UTC, datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,18 @@ def test_datasets_of_other_names_and_paths(spark, made, tmp_path):
         "2000-03-14T20:30:00Z",
         datetime(2000, 3, 14, 20, 30),
         "2000-03-14 20:30:00",
+        "2000-3-14 20:30",
+        "2000-03-14T20:30:00.000000Z",
+        "2000-03-15 02:00:00 Asia/Kolkata",
+        "2000-03-15T02:00 Asia/Kolkata",
+        "2000-03-15 02:00:00 +5:30",
+        "2000-03-15 02:00:00+0530",
+        "2000-03-15 02:00:00 UTC+05:30",
+        "2000-03-15 02:00:00 gmt+5:30",
+        "2000-03-14 12:30:00-08",
+        "2000-03-14 12:30:00 America/Los_Angeles",
+        "2000-03-14 20:30:00 UTC",
+        datetime(2000, 3, 15, 2, 0, tzinfo=ZoneInfo("Asia/Kolkata")),
     ],
 )
 def test_as_of_is_an_instant(spark, as_of):
@@ -129,6 +142,34 @@ def test_as_of_is_an_instant(spark, as_of):
     assert now == datetime(2000, 3, 14, 20, 30)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "2000-03-15 02:00:00 IST",
+        "2000-03-15 02:00:00 Asia/Nowhere",
+        "2000-03-15 02:00:00 ../etc/passwd",
+        "2000-03-15 02:00:00 +25:00",
+        "2000-03-15 02:00:00 +05:75",
+        "2000-03-15 02:00:00 UTC UTC",
+        "2000-02-30",
+        "2000-03-15 25:00",
+        "yesterday",
+        "20000315",
+        "",
+    ],
+)
+def test_text_that_is_no_instant_is_an_error(text):
+    with pytest.raises(ValueError):
+        PeriodAnchors.of(text)
+
+
+def test_clock_changes_of_a_zone(spark):
+    """The repeated hour counts as before the change, the skipped one too."""
+    for text, hour in (("2000-10-29 01:30 America/New_York", 5), ("2000-04-02 02:30 America/New_York", 7)):
+        now = spark.range(1).select(PeriodAnchors.of(text).now).first()[0]
+        assert (now.hour, now.minute) == (hour, 30)
+
+
 def test_the_clock_is_read_once(spark):
     anchors = PeriodAnchors.of()
     reads = [spark.range(1).select(anchors.now).first()[0] for _ in range(2)]
