@@ -31,11 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendlens.llm.packing import packed, unpacked
+from lendlens.llm.packing import Mask, packed, unpacked
 from lendlens.llm.scratch import written
 from lendlens.llm.shingles import mixed, runs, span_hashes
 
@@ -142,25 +141,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[Chu
         yield Chunk(texts, langs)
 
 
-class Mask:
-    """One bit for every key that may be frequent; there are no other misses."""
-
-    def __init__(self, keys: DataFrame, bits: int):
-        self.low = 2**bits - 1
-        at = F.col("key").bitwiseAND(F.lit(self.low))
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
-        words = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits"))
-        # At most 2^(bits - 6) rows, whatever the corpus.
-        found = words.toArrow()
-        made = np.zeros(2**bits // 64, np.uint64)
-        made[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-        self._sent: Broadcast = keys.sparkSession.sparkContext.broadcast(made)
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        at = short(keys) & np.uint64(self.low)
-        return (self._sent.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
-
-
 def _candidates(chunk: Chunk, masks: list[Mask]) -> list[np.ndarray]:
     """For 1, 2, ... words: whether the gram at a word may be frequent by all its parts.
 
@@ -169,7 +149,7 @@ def _candidates(chunk: Chunk, masks: list[Mask]) -> list[np.ndarray]:
     found = [np.ones(len(chunk.keys), bool)]
     for words, mask in enumerate(masks, 1):
         at = np.flatnonzero(found[-1])
-        found[-1][at] = mask.holds(chunk.grams(at, words))
+        found[-1][at] = mask.holds(short(chunk.grams(at, words)))
         longer = np.zeros(len(chunk.keys), bool)
         longer[:-1] = found[-1][:-1] & found[-1][1:]
         if words == 1:

@@ -15,9 +15,10 @@ posterior chance that its similarity reaches the threshold, under an even prior,
 
 Defined results: NULL, empty and wordless texts have no shingles and are linked with nothing,
 not even with each other. Texts of fewer than five words are one shingle. Rows of equal text
-are linked whatever their doc_id; rows that repeat a doc_id are one document and are kept or
-removed together. A component's id is its smallest doc_id, NULL if it has none; a row without
-doc_id is kept only where the component has no id.
+are linked whatever their doc_id, also to none; rows that repeat a doc_id are judged each by its
+own text. A component's id is its smallest doc_id, NULL if it has none, and `kept` tells whether
+the row's doc_id is that. Rows of equal doc_id and text have the same verdict; where rows are to
+be dropped, one of them stays (`kept_rows`).
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from lendlens.llm import shingles
 from lendlens.llm.components import components
+from lendlens.llm.packing import Mask
 from lendlens.llm.scratch import written
 
 #: Link texts whose sets have a similarity of at least this percentage.
@@ -44,6 +46,8 @@ BATCH, BATCHES = 64, 3
 ODD_WORDS = 16
 #: Posterior chance of a link below which a pair is dropped.
 MISS = 1e-7
+#: Bits that tell which buckets are shared, and which texts are looked up, at most.
+MASK_BITS = 27
 #: While all pairs across components would take more than so many comparisons per row, other
 #: hubs come first, in so many rounds at most. Both only order the work.
 SPREAD = 1000
@@ -180,8 +184,11 @@ class _Search:
         self.classes = written(classes, "classes")
         self.banded = self._banded()
         wanted = written(self.banded.select("digest", "where.*").distinct(), "wanted")
-        # Both sides grow with the corpus: one plan at every size.
-        texts = docs.join(wanted.hint("merge"), ["text_key", "text_hash"])
+        # Both sides grow with the corpus: one plan at every size. Texts that are surely not
+        # wanted stay where they are.
+        may_be = Mask(wanted, MASK_BITS, "text_hash").may_hold("text_hash")
+        found = docs.filter("text_hash is not null").filter(may_be)
+        texts = found.join(wanted.hint("merge"), ["text_key", "text_hash"])
         texts = texts.select("digest", "text")
         self.texts = written(texts, "texts")
 
@@ -192,7 +199,8 @@ class _Search:
             F.count(F.lit(1)).alias("members"), F.min("leader").alias("first")
         )
         shared = written(shared.filter(F.col("members") > 1), "shared")
-        return written(rows.join(shared, "bucket").drop("members"), "banded")
+        may_be = Mask(shared, MASK_BITS, "bucket").may_hold("bucket")
+        return written(rows.filter(may_be).join(shared, "bucket").drop("members"), "banded")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (digest, hub_digest) whose full sets are similar enough."""
@@ -279,10 +287,10 @@ class _Search:
         return components(links.union(self.all_links(rows)))
 
 
-def deduplicated(
-    docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def _named(
+    docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and of every class (digest, first_id) the root of its component."""
     read = _keyed(docs, doc_id, text)
     signs = written(read.mapInArrow(_signed, SIGNED), "signed")
     search = _Search(read, signs, percent)
@@ -290,7 +298,14 @@ def deduplicated(
     named = search.classes.join(
         roots.select(F.col("node").alias("digest"), "root"), "digest", "left"
     ).select("digest", "first_id", F.coalesce("root", "digest").alias("root"))
-    named = written(named, "named")
+    return signs, written(named, "named")
+
+
+def deduplicated(
+    docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    signs, named = _named(docs, percent, doc_id, text)
     least = named.groupBy("root").agg(F.min("first_id").alias("component"))
     labels = named.join(written(least, "least"), "root").select("digest", "component")
     number = F.col("doc_id")
@@ -302,9 +317,37 @@ def deduplicated(
 
 
 def kept_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs`, with their own columns, whose doc_id stands for its component."""
-    judged = deduplicated(docs, percent)
-    removed = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_removed")).distinct()
-    removed = written(removed, "removed")
-    same = docs["doc_id"].cast("long") == removed["_removed"]
-    return docs.join(removed.hint("merge"), same, "left_anti")
+    """One row of every component, and all rows without shingles, with their own columns.
+
+    Rows are told apart by doc_id and text. The row of the smallest doc_id stays, one without
+    doc_id only where the component has none; of rows that agree in both, any one.
+    """
+    signs, named = _named(docs, percent)
+    rows = (
+        signs.filter(F.col("digest").isNotNull())
+        .groupBy("digest", "doc_id", "text_hash")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .join(named.select("digest", "root"), "digest")
+        .select(
+            "root",
+            F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash").alias("row"),
+            "times",
+        )
+    )
+    rows = written(rows, "rows")
+    first = rows.groupBy("root").agg(F.min("row").alias("first"))
+    judged = rows.join(written(first, "first"), "root")
+    stays = F.col("row") == F.col("first")
+    marked = judged.filter(~stays | (F.col("times") > 1)).select(
+        F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"), stays.alias("_stays")
+    )
+    marked = written(marked, "marked")
+
+    def same(marks: DataFrame):
+        own_id = docs["doc_id"].cast("long").eqNullSafe(marks["_id"])
+        return own_id & (F.xxhash64(docs["text"]) == marks["_hash"])
+
+    repeated = marked.filter("_stays")
+    once = docs.join(repeated, same(repeated)).dropDuplicates(["_id", "_hash"])
+    others = docs.join(marked.hint("merge"), same(marked), "left_anti")
+    return others.union(once.select(*(docs[name] for name in docs.columns)))

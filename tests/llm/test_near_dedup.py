@@ -150,6 +150,30 @@ def test_edges(edge_docs, no_docs):
     assert len(by_id[9]) == 2 and all(row["kept"] for row in by_id[9])
     kept = near_dedup.kept_rows(edge_docs)
     assert kept.columns == edge_docs.columns
-    removed = sum(row["doc_id"] is not None and not row["kept"] for row in rows)
-    assert kept.count() == len(rows) - removed
+    # One row of each component, also where copies have no doc_id or the same one.
+    groups = {row["component_id"] for row in rows if row["n_shingles"]}
+    assert kept.count() == len(groups) + sum(not row["n_shingles"] for row in rows)
     assert near_dedup.deduplicated(no_docs).count() == 0 == near_dedup.kept_rows(no_docs).count()
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows without doc_id, and texts that share one, are judged each by its own text."""
+    same, other = sentence(random.Random(1), 30), sentence(random.Random(2), 30)
+    rows = [(None, same), (None, same), (1, same), (2, other), (2, same)]
+    docs = spark.createDataFrame([(*row, i) for i, row in enumerate(rows)], "doc_id long, text string, n int")
+    kept = near_dedup.kept_rows(docs).collect()
+    assert sorted((row["doc_id"], row["text"], row["n"]) for row in kept) == [(1, same, 2), (2, other, 3)]
+    verdicts = {(row["doc_id"], row["component_id"], row["kept"]) for row in near_dedup.deduplicated(docs).collect()}
+    assert verdicts == {(None, 1, False), (1, 1, True), (2, 2, True), (2, 1, False)}
+
+
+def test_one_of_equal_rows_stays(spark):
+    text = sentence(random.Random(3), 30)
+    rows = [(7, text), (7, text), (7, text), (None, ""), (None, ""), (8, None), (9, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dedup.kept_rows(docs).collect()
+    assert sorted(map(str, kept)) == sorted(
+        str(row) for row in spark.createDataFrame([rows[0], *rows[3:]], docs.schema).collect()
+    )
+    without = spark.createDataFrame([(None, text), (None, text)], docs.schema)
+    assert near_dedup.kept_rows(without).count() == 1
