@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -127,14 +128,18 @@ def tree(page: str) -> Node:
     """The page's elements and texts; forgiving of tags that are not closed."""
     root = node = Node(BODY, None, False, NO_HINTS)
     depth_of_content, at = 0, 0
+    opened: Counter = Counter()  # open elements by tag, so that nobody climbs in vain
 
     def up_to(target: Node) -> None:
         nonlocal node, depth_of_content
         while node is not target:
             depth_of_content -= node.tag in CONTENT
+            opened[node.tag] -= 1
             node = node.parent
 
     def open_one(tags: frozenset[str], held: frozenset[str]) -> Node | None:
+        if not any(opened[tag] for tag in tags):
+            return None
         seen = node
         while seen is not root:
             if seen.tag in tags:
@@ -172,6 +177,7 @@ def tree(page: str) -> Node:
         node.parts.append(made)
         if tag not in VOID and not token["rest"].endswith("/"):
             node = made
+            opened[tag] += 1
             depth_of_content += tag in CONTENT
     if at < len(page):
         node.parts.append(page[at:])

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -107,3 +108,10 @@ def test_wrappers_that_mention_a_listed_word(page):
 def test_link_lists_inside_an_article_stay():
     page = f"<article><p>{LONG}</p><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></article>"
     assert density.extract(page) == f"{OWN} One Two"
+
+
+def test_unclosed_tags_take_time_in_proportion():
+    for opening, closing in (("<b>", "</i>"), ("<span>", "<p>"), ("<b>", "</x>")):
+        began = time.process_time()
+        density.tree(opening * 60_000 + "text" + closing * 60_000)
+        assert time.process_time() - began < 5
