@@ -158,8 +158,8 @@ def _group_keys(rows: DataFrame) -> DataFrame:
     counts = written(counts.withColumn("level", level), "counts")
     rest = counts.filter(F.col("level") == "all").agg(F.sum("n")).scalar()
     key = (
-        F.when(F.col("level") == "source", F.concat_ws("|", F.lit("s"), "of_lang", "of_source"))
-        .when(F.col("level") == "lang", F.concat_ws("|", F.lit("l"), "of_lang"))
+        F.when(F.col("level") == "source", F.to_json(F.struct("of_lang", "of_source")))
+        .when(F.col("level") == "lang", F.to_json(F.struct("of_lang")))
         .when(rest >= MIN_ROWS, "a")
     )
     keyed = counts.select("of_lang", "of_source", key.alias("fit_key"))

@@ -118,3 +118,13 @@ def test_edges(edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
     assert kept.count() == sum(row["kept"] for row in rows)
     assert outliers.verdicts(no_docs).count() == 0 == outliers.kept_rows(no_docs).count()
+
+
+def test_names_with_marks_keep_groups_apart(spark):
+    """Language `=en|=x` of source `=y` is another group than `=en` of `=x|=y`."""
+    from lendlens.llm.outliers import MIN_ROWS, _group_keys
+
+    groups = [("=en|=x", "=y"), ("=en", "=x|=y"), ('=a","of_source":"=b', "=c")]
+    rows = [group for group in groups for _ in range(MIN_ROWS)]
+    keys = _group_keys(spark.createDataFrame(rows, "of_lang string, of_source string")).collect()
+    assert len({row["fit_key"] for row in keys}) == len(groups)
