@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,3 +80,18 @@ def among(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
 
 def not_like(df: DataFrame, column: str, part: str) -> DataFrame:
     return df.filter(~F.col(column).contains(part))
+
+
+def _between_days(df: DataFrame, of: str, first: date, last: date) -> DataFrame:
+    """Whole days of a time, both included, as bounds that reach the scan."""
+    day = F.to_date(of)
+    kept = df.filter((day >= F.lit(first)) & (day <= F.lit(last)))
+    return _pruned(kept, of, F.lit(first))
+
+
+def created_between_days(df: DataFrame, first: date, last: date) -> DataFrame:
+    return _between_days(df, CREATED, first, last)
+
+
+def disbursed_between_days(df: DataFrame, first: date, last: date) -> DataFrame:
+    return _between_days(df, DISBURSED, first, last)

@@ -11,23 +11,17 @@ from pyspark.sql import functions as F
 from lendlens import constants as k
 from lendlens.functions import classify, metrics
 from lendlens.functions.anchors import PeriodAnchors
-from lendlens.operators import attribution, filters, tags
+from lendlens.operators import attribution, by_application, filters, tags
 from lendlens.operators.aggregates import MEASURES, STARTS, period_pivot
 from lendlens.operators.projections import normalize_timestamps
+from lendlens.plans.day_cube import LABELS
 from lendlens.sources.tables import Sources
 
 
-LABELS = {
-    "single_app_programme": classify.programme_single_app,
-    "two_app_programme": classify.programme_two_app,
-    "partner_bucket": classify.partner_bucket,
-    "platform": classify.platform,
-    "ticket_size": classify.ticket_size,
-}
-
-
 def _pivot(sources: Sources, anchors: PeriodAnchors, labels: Iterable[str]) -> DataFrame:
-    """The six measures of the lookback by the given labels."""
+    """The six measures of the lookback by the given labels, from closed days where kept."""
+    if sources.day_cube is not None:
+        return sources.day_cube.pivot(sources.loan_application, anchors, labels)
     recent = filters.lookback_150d(sources.loan_application, anchors)
     labelled = normalize_timestamps(recent).select(
         "date_created",
@@ -84,7 +78,7 @@ def channels(sources: Sources, anchors: PeriodAnchors, programme: str = k.MVL_NE
 def repeat_customers(sources: Sources, anchors: PeriodAnchors) -> DataFrame:
     """By programme and tag bucket; an application counts once per pair of its tags."""
     apps = normalize_timestamps(filters.either_date_60d(sources.loan_application, anchors))
-    counts = tags.tag_counts(sources.loan_application_metadata, anchors)
+    counts = by_application.counts_of(sources, anchors)
     labelled = tags.left_two_tag_flags(apps, counts).select(
         "date_created",
         "disbursal_date",
@@ -103,7 +97,7 @@ def repeat_rows(sources: Sources, anchors: PeriodAnchors) -> DataFrame:
     ``copies`` counts the branches an application is in times its tags in the bucket.
     """
     apps = tags.recent_branches(sources.loan_application, anchors)
-    counts = tags.tag_counts(sources.loan_application_metadata, anchors)
+    counts = by_application.counts_of(sources, anchors)
     return tags.left_tag_bucket(apps, counts).select(
         "date_created",
         "disbursal_date",

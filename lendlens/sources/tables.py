@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from copy import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,24 @@ class Sources:
     ):
         self._read = read
         self._layouts = layouts or {}
+        #: Closed days that funnel reports read in place of applications (plans/day_cube.py).
+        self.day_cube = None
+        #: Tags by application and day, stored in buckets (operators/by_application.py).
+        self.tag_days: DataFrame | None = None
         configure(spark)
 
+    def with_tag_days(self, days: DataFrame) -> Sources:
+        """The same relations, with tags read from their stored days."""
+        other = copy(self)
+        other.tag_days = days
+        return other
+
+    def with_day_cube(self, cube) -> Sources:
+        """The same relations, with funnel reports on the closed days of a ``DayCube``."""
+        other = copy(self)
+        other.day_cube = cube
+        return other
+
     @classmethod
     def from_parquet(
         cls,
