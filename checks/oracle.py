@@ -554,6 +554,8 @@ def build(as_of: str) -> dict[str, str]:
 
     # Reports.
     sql["rpt_changes_mom"] = funnel(mom, "programme", where=f"programme <> '{k.OTHERS}'")
+    sql["agg_day_cube"] = funnel(partner, "programme", "partner_bucket")
+    sql["join_bucketed_tags"] = sql["join_left_two_tag_flags"]
     sql["rpt_volume_projection"] = volume_report
     for metric in ("disb_amount", "starts", "conversion", "ats"):
         sql[f"rpt_partner_{metric}"] = funnel(

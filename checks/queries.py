@@ -5,7 +5,10 @@ Each function takes the sources and the anchors; its name is its key.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +16,11 @@ from pyspark.sql import types as T
 
 from lendlens import constants as k
 from lendlens.functions import classify, metrics
-from lendlens.functions.anchors import INSTANT, PeriodAnchors
-from lendlens.operators import aggregates, attribution, filters, projections, tags
+from lendlens.functions.anchors import INSTANT, PeriodAnchors, parsed_instant
+from lendlens.operators import aggregates, attribution, by_application, filters, projections, tags
 from lendlens.operators.results import ordered, union_all
 from lendlens.plans import families
+from lendlens.plans.day_cube import DayCube
 from lendlens.plans.reports import REPORTS, report
 from lendlens.sources.sample import sample
 from lendlens.sources.schemas import SCHEMAS
@@ -66,6 +70,12 @@ def labelled(s: Sources, **labels: Column) -> DataFrame:
     return s.loan_application.withColumns(labels)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that executors share; a temporary one only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cube-")
+    return f"{shared.rstrip('/')}/cube-{uuid.uuid4().hex}"
+
+
 # Sources and sinks.
 
 
@@ -457,6 +467,26 @@ def left_join_rows(matches: str) -> Column:
     return F.greatest(F.col(matches), F.lit(1).cast("long"))
 
 
+@query
+def join_bucketed_tags(s, a):
+    """Both tag flags by joining stored buckets of applications."""
+    spark = s.loan_application.sparkSession
+    folder, name = shared_folder(spark), f"stored_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    apps, days = f"{name}_apps", f"{name}_tags"
+    by_application.store_applications(s.loan_application, apps, buckets, f"{folder}/apps")
+    by_application.store_tags(s.loan_application_metadata, days, buckets, f"{folder}/tags")
+    counts = by_application.counts_of_days(spark.table(days), a)
+    joined = tags.left_two_tag_flags(spark.table(apps), counts)
+    return join_counts(
+        joined,
+        F.col("copies"),
+        "loan_product_id",
+        F.col("lowngrow_id").isNotNull().cast("int").alias("lowngrow"),
+        F.col("starter_id").isNotNull().cast("int").alias("starter"),
+    )
+
+
 @query
 def join_user_history_range(s, a):
     matched = attribution.history_matches(s.loan_application, s.app_user_history)
@@ -571,6 +601,18 @@ def agg_two_level(s, a):
     return aggregates.two_level(df, ["programme", "partner_bucket"], a)
 
 
+@query
+def agg_day_cube(s, a):
+    """Partners from closed days, the last week of them closed later, and the running day."""
+    apps = s.loan_application
+    spark = apps.sparkSession
+    today = parsed_instant(AS_OF).date()
+    cube = DayCube(spark, shared_folder(spark))
+    cube.close(apps, today - timedelta(days=k.LOOKBACK_DAYS), today - timedelta(days=8))
+    cube.close(apps, today - timedelta(days=7), today - timedelta(days=1))
+    return families.partners(s.with_day_cube(cube), a)
+
+
 @query
 def agg_single_stage_alias_key(s, a):
     return families.volume_projection(s, a)
