@@ -1,4 +1,4 @@
-"""Benchmark leaks against brute force, and the guarantee of the Hamming blocks."""
+"""Benchmark leaks against brute force, and the guarantees of prints and Hamming blocks."""
 
 import math
 import random
@@ -37,27 +37,66 @@ def test_query(spark, documents):
     assert all(0.8 <= row["similarity"] <= 1 for row in rows)
 
 
+def signed(value):
+    return value - (1 << 64) if value >> 63 else value
+
+
 def test_blocks_list_every_print_within_the_radius(spark):
+    assert sum(dc.BLOCKS) == 128 and dc.RADIUS < len(dc.BLOCKS) * (dc.ERRORS + 1)
     rng = random.Random(2)
-    items = [(i, 30, rng.getrandbits(64) - (1 << 63)) for i in range(20)]
+    items = [(i, 30, rng.getrandbits(128)) for i in range(20)]
     prints = set()
-    for _, _, value in items:
-        for bits in range(0, 33, 2):
+    for _, size, value in items:
+        for bits in range(0, 50, 2):
             flipped = value
-            for bit in rng.sample(range(64), bits):
+            for bit in rng.sample(range(128), bits):
                 flipped ^= 1 << bit
-            prints.add((30, (flipped + (1 << 63)) % (1 << 64) - (1 << 63)))
+            prints.add((size + (bits == 4), flipped))
+
+    def rows(values):
+        return [(*key, signed(v % (1 << 64)), signed(v >> 64)) for *key, v in values]
+
     made = dc.candidates(
-        spark.createDataFrame(sorted(prints), "size int, print long"),
-        spark.createDataFrame(items, "piece long, size int, item_print long"),
+        spark.createDataFrame(rows(sorted(prints)), "length int, print_0 long, print_1 long"),
+        spark.createDataFrame(rows(items), "item long, length int, print_0 long, print_1 long"),
     ).collect()
     near = {
-        (p, i)
-        for _, p in prints
-        for i, _, q in items
-        if ((p ^ q) % (1 << 64)).bit_count() <= dc.RADIUS
+        (size, signed(p % (1 << 64)), signed(p >> 64), i)
+        for size, p in prints
+        for i, length, q in items
+        if size == length and (p ^ q).bit_count() <= dc.RADIUS
     }
-    assert {(row["print"], row["piece"]) for row in made} == near
+    assert {tuple(row[c] for c in ("length", "print_0", "print_1", "item")) for row in made} == near
+    assert len(near) > 200
+
+
+def test_prints_differ_as_the_similarity_tells(spark):
+    """Windows that lack a fifth of an item's weight, in few heavy or many light shingles."""
+    rng = random.Random(3)
+    rows, differ = [], []
+    for i in range(300):
+        heavy, light = rng.choice([(4, 4), (1, 16), (8, 8), (0, 5), (30, 30), (5, 0)])
+        weights = [4] * heavy + [1] * light
+        lost, left = set(), 0.2 * sum(weights)
+        for at in sorted(range(len(weights)), key=lambda at: (weights[at] * (-1) ** i, at)):
+            if weights[at] <= left:
+                left -= weights[at]
+                lost.add(at)
+        for at, weight in enumerate(weights):
+            rows.append((2 * i, 1000 * i + at, weight))
+            if at not in lost:
+                rows.append((2 * i + 1, 1000 * i + at, weight))
+    table = spark.createDataFrame(rows, "item long, shingle long, weight int")
+    table = table.selectExpr("*", "0 as k").groupBy("item")
+    lanes = [dc.F.sum(lane).alias(f"lane_{i}") for i, lane in enumerate(dc._lanes())]
+    made = {r["item"]: r for r in table.agg(*lanes).select("item", *dc._print()).collect()}
+    for i in range(300):
+        a, b = made[2 * i], made[2 * i + 1]
+        xor = (a["print_0"] ^ b["print_0"]) % (1 << 64), (a["print_1"] ^ b["print_1"]) % (1 << 64)
+        differ.append(sum(x.bit_count() for x in xor))
+    assert sum(d > dc.RADIUS for d in differ) <= 2 and sum(differ) / 300 < 128 * 0.16
+    other = [made[2 * i]["print_0"] ^ made[2 * i + 2]["print_0"] for i in range(299)]
+    assert 30 < sum((x % (1 << 64)).bit_count() for x in other) / 299 < 34
 
 
 def word_list(rng, n):
