@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under `spark.checkpoint.dir`; a temporary one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="llm-")
+    """A new folder under `spark.checkpoint.dir`.
+
+    Where that is unset, a local session gets a temporary one; on a cluster, whose executors
+    would not see it, this is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="llm-")
     return f"{shared.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
