@@ -48,6 +48,9 @@ PARTS = 256
 
 #: Passes that tell what can be part of a phrase: words, pairs, triples.
 PASSES = 3
+#: Tasks that cut out longest grams, at most; each has one table of them.
+TASKS_PER_CORE = 2
+
 #: Keys have so many bits; those that agree in the upper ones are counted in one task.
 KEY_BITS, RANGE_BITS = 32, 20
 
@@ -72,8 +75,10 @@ class Sizes:
     #: Bytes of text that are cut into words together.
     chunk_bytes: int = 1 << 20
     #: Bytes of text whose longest grams, and keys that, are counted together.
-    block_bytes: int = 1 << 24
+    block_bytes: int = 1 << 22
     block_keys: int = 1 << 22
+    #: Different grams of several blocks that a task holds before it sends them on.
+    table_grams: int = 1 << 19
 
 
 class Chunk:
@@ -233,13 +238,19 @@ def _frequent(texts: DataFrame, masks: list[Mask], least: int, sizes: Sizes) ->
 
 
 class _Grams:
-    """The longest grams that start in some chunks."""
+    """The longest grams that start in some chunks, each once, with its count and its text."""
 
     def __init__(self, masks: list[Mask], longest: int):
         self.masks, self.longest = masks, longest
         self.chunks: list[tuple[Chunk, np.ndarray, np.ndarray]] = []
-        self.keys: list[np.ndarray] = []
+        self.waiting: list[np.ndarray] = []
         self.size = 0
+        #: Keys in order, and where in the lists the gram of each is.
+        self.keys, self.places = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.counts = np.empty(0, np.int64)
+        self.langs: list[str] = []
+        self.ks: list[int] = []
+        self.grams: list[str] = []
 
     def add(self, chunk: Chunk) -> None:
         found = _candidates(chunk, self.masks)
@@ -251,37 +262,51 @@ class _Grams:
             place = place & np.append(place[1:], False)
             long += place[at]
         long = np.minimum(long, self.longest)
-        self.keys.append(chunk.grams(at, long))
+        self.waiting.append(chunk.grams(at, long))
         self.chunks.append((chunk, at.astype(np.int32), long.astype(np.int8)))
         self.size += len(chunk.buffer)
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        """Every gram once, with its count and its text."""
-        keys = np.concatenate(self.keys)
-        _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-        edges = np.cumsum([0] + [len(own) for own in self.keys])
+    def count(self) -> None:
+        """Counts what the chunks hold; only grams not met before are cut out of the texts."""
+        keys, first, counts = np.unique(
+            np.concatenate(self.waiting), return_index=True, return_counts=True
+        )
+        near = np.searchsorted(self.keys, keys)
+        known = near < len(self.keys)
+        known[known] = self.keys[near[known]] == keys[known]
+        self.counts[self.places[near[known]]] += counts[known]
+        first = first[~known]
+        edges = np.cumsum([0] + [len(own) for own in self.waiting])
         of = np.searchsorted(edges, first, side="right") - 1
-        langs, ks, grams = [], [], []
         for part, index in zip(of.tolist(), (first - edges[of]).tolist(), strict=True):
             chunk, at, long = self.chunks[part]
             word, k = int(at[index]), int(long[index])
             span = chunk.buffer[chunk.starts[word] : chunk.ends[word + k - 1]]
-            langs.append(chunk.langs[chunk.text[word]])
-            ks.append(k)
-            grams.append(b" ".join(span.split()).decode(errors="replace"))
+            self.langs.append(chunk.langs[chunk.text[word]])
+            self.ks.append(k)
+            self.grams.append(b" ".join(span.split()).decode(errors="replace"))
+        places = np.arange(len(self.counts), len(self.grams))
+        self.counts = np.concatenate([self.counts, counts[~known]])
+        self.keys = np.concatenate([self.keys, keys[~known]])
+        self.places = np.concatenate([self.places, places])
+        order = np.argsort(self.keys)
+        self.keys, self.places = self.keys[order], self.places[order]
+        self.chunks, self.waiting, self.size = [], [], 0
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
         table = pa.table(
             {
-                "lang": pa.array(langs, pa.string()),
-                "k": pa.array(ks, pa.int32()),
-                "gram": pa.array(grams, pa.string()),
-                "n": pa.array(counts, pa.int64()),
+                "lang": pa.array(self.langs, pa.string()),
+                "k": pa.array(self.ks, pa.int32()),
+                "gram": pa.array(self.grams, pa.string()),
+                "n": pa.array(self.counts, pa.int64()),
             }
         )
         yield from table.to_batches(max_chunksize=1 << 16)
 
 
 def _longest(masks: list[Mask], longest: int, sizes: Sizes):
-    """Longest grams of blocks, and all words of a language as a gram of none."""
+    """Longest grams, and all words of a language as a gram of none."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Counter = Counter()
@@ -292,10 +317,13 @@ def _longest(masks: list[Mask], longest: int, sizes: Sizes):
                 totals[lang] += n
             grams.add(chunk)
             if grams.size >= sizes.block_bytes:
-                yield from grams.batches()
-                grams = _Grams(masks, longest)
+                grams.count()
+                if len(grams.grams) >= sizes.table_grams:
+                    yield from grams.batches()
+                    grams = _Grams(masks, longest)
         if grams.size:
-            yield from grams.batches()
+            grams.count()
+        yield from grams.batches()
         if totals:
             size = len(totals)
             yield pa.RecordBatch.from_arrays(
@@ -326,7 +354,9 @@ def longest_grams(
     masks: list[Mask] = []
     for _ in range(min(PASSES, longest)):
         masks = [*masks, _frequent(texts, masks, least, sizes)]
-    grams = texts.mapInArrow(_longest(masks, longest, sizes), GRAMS)
+    # A gram is sent once by every task that has it, so tasks follow the cores, not the splits.
+    tasks = TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism
+    grams = texts.coalesce(tasks).mapInArrow(_longest(masks, longest, sizes), GRAMS)
     return grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
 

@@ -100,6 +100,23 @@ def test_against_brute_force(spark, monkeypatch, least, top):
     assert listed(got) == sorted(brute(docs, least, top))
 
 
+def test_a_task_sends_a_gram_once(spark):
+    """However many blocks of text it has, as long as its table has room."""
+    frame = spark.createDataFrame(few_words(5, 60), "text string, lang string")
+    texts = frame.select("lang", "text").coalesce(1)
+    masks = [collocations._frequent(texts, [], 1, SMALL)]
+    made = texts.mapInArrow(collocations._longest(masks, 5, SMALL), collocations.GRAMS).collect()
+    assert len(made) == len({(row.lang, row.k, row.gram) for row in made}) > 100
+
+
+def test_a_small_table_changes_nothing(spark):
+    docs = few_words(11, 80)
+    frame = spark.createDataFrame(docs, "text string, lang string").repartition(7)
+    sizes = collocations.Sizes(chunk_bytes=40, block_bytes=100, block_keys=30, table_grams=8)
+    got = collocations.collocations(frame, 5, sizes=sizes).collect()
+    assert listed(got) == sorted(brute(docs, 5, 2000))
+
+
 def test_a_mask_without_room_changes_nothing(spark):
     """Where all keys share a few bits nothing is cut, and counts are the same."""
     docs = few_words(9, 60)
