@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.llm import shingles
+from lendlens.llm.batches import bounded
 from lendlens.llm.components import components
 from lendlens.llm.packing import Mask
 from lendlens.llm.scratch import written
@@ -291,7 +292,7 @@ def _named(
     docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
     """The signed rows, and of every class (digest, first_id) the root of its component."""
-    read = _keyed(docs, doc_id, text)
+    read = _keyed(bounded(docs), doc_id, text)
     signs = written(read.mapInArrow(_signed, SIGNED), "signed")
     search = _Search(read, signs, percent)
     roots = search.roots()
